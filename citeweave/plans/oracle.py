@@ -73,3 +73,119 @@ ORACLE["missing_year"] = f"""
 WITH {WORKS}
 SELECT count(*) AS n_total, count(*) FILTER (WHERE publication_year IS NULL) AS n_missing_year
 FROM works WHERE layer = 0"""
+
+RAW = """
+raw AS (
+  SELECT doc_id,
+         'https://openalex.org/W' || CAST(doc_id AS VARCHAR) AS id,
+         CASE WHEN doc_id % 10 = 3 THEN NULL WHEN doc_id % 10 = 7 THEN '   '
+              ELSE '  HTTPS://DOI.ORG/10.1000/' || upper(source) || '.'
+                   || CAST(n_chars % 997 AS VARCHAR) || ' ' END AS doi,
+         CASE WHEN doc_id % 13 = 0 THEN NULL ELSE substr(text, 1, 80) END AS title,
+         CAST(1920 + doc_id % 105 AS BIGINT) AS publication_year,
+         CAST(n_chars % 200 AS BIGINT) AS cited_by_count,
+         list_concat(
+           list_transform(
+             list_filter([doc_id - 1, doc_id - 2, CASE WHEN doc_id % 7 = 0 THEN doc_id - 105 END,
+                          doc_id - 37, doc_id + 10000000], lambda x: x >= 0),
+             lambda x: 'https://openalex.org/W' || CAST(x AS VARCHAR)),
+           CASE WHEN doc_id % 11 = 0 THEN [''] ELSE []::VARCHAR[] END) AS referenced_works,
+         CASE WHEN doc_id % 17 = 0 THEN NULL ELSE lang END AS "domain",
+         CASE WHEN doc_id % 17 = 0 THEN NULL ELSE source END AS field,
+         CASE WHEN doc_id % 17 = 0 THEN NULL ELSE source || '/' || lang END AS subfield,
+         CASE WHEN doc_id % 17 = 0 THEN NULL ELSE source || '-' || lang END AS topic
+  FROM documents),
+raw_words AS (
+  SELECT doc_id, unnest(string_split(text, ' ')) AS word,
+         generate_subscripts(string_split(text, ' '), 1) - 1 AS pos
+  FROM documents),
+inverted AS (
+  SELECT doc_id, word, list(pos) AS positions FROM raw_words GROUP BY doc_id, word),
+rebuilt AS (
+  SELECT doc_id,
+         nullif(regexp_replace(string_agg(word, ' ' ORDER BY pos), '^\\s+|\\s+$', '', 'g'), '')
+           AS abstract
+  FROM (SELECT doc_id, word, unnest(positions) AS pos FROM inverted)
+  GROUP BY doc_id),
+normalized AS (
+  SELECT coalesce(CASE WHEN contains(r.id, '/') THEN string_split(r.id, '/')[-1] ELSE r.id END, '')
+           AS oa_id,
+         nullif(lower(regexp_replace(r.doi, '^\\s+|\\s+$', '', 'g')), '') AS doi,
+         CASE WHEN r.title IS NULL OR r.title = '' THEN NULL
+              ELSE regexp_replace(regexp_replace(lower(r.title), '\\s+', ' ', 'g'),
+                                  '^\\s+|\\s+$', '', 'g') END AS title,
+         r.publication_year, r.cited_by_count, b.abstract,
+         list_transform(list_filter(r.referenced_works, lambda x: x IS NOT NULL AND x <> ''),
+                        lambda x: CASE WHEN contains(x, '/') THEN string_split(x, '/')[-1]
+                                       ELSE x END) AS referenced_works,
+         r."domain", r.field, r.subfield, r.topic
+  FROM raw r LEFT JOIN rebuilt b ON b.doc_id = r.doc_id)"""
+
+ORACLE["normalize_ids"] = f"""
+WITH {RAW}
+SELECT * FROM normalized"""
+
+ORACLE["fill_rate_subfield"] = f"""
+WITH {RAW}
+SELECT count(nullif(subfield, '')) AS n_filled, count(*) AS n_rows,
+       round(count(nullif(subfield, '')) / count(*), 9) AS fill_rate
+FROM normalized"""
+
+MERGED = """CASE WHEN abstract IS NOT NULL AND title IS NOT NULL THEN title || chr(10) || abstract
+            WHEN abstract IS NOT NULL THEN abstract ELSE title END"""
+
+ORACLE["merge_text"] = f"""
+WITH {WORKS}
+SELECT oa_id, {MERGED} AS text FROM works"""
+
+
+def _clean(x: str) -> str:
+    from citeweave.functions import text as tx
+    steps = [(tx.ZERO_WIDTH, ""), (tx.LATEX_MATH, " "), (tx.LATEX_COMMAND, " "),
+             (tx.MATH_SYMBOLS, " "), (tx.REPEATED_OPERATORS, " "), (tx.NOT_KEPT, " "),
+             (tx.WHITESPACE_RUN, " ")]
+    for pat, rep in steps:
+        x = f"regexp_replace({x}, '{pat}', '{rep}', 'g')"
+    return f"trim({x})"
+
+
+ORACLE["clean_text"] = f"""
+WITH {WORKS},
+cleaned AS (
+  SELECT oa_id, {DECADE} AS decade, {_clean(f"lower({MERGED})")} AS clean
+  FROM works WHERE ({MERGED}) IS NOT NULL)
+SELECT oa_id, decade, clean, CAST(len(string_split(clean, ' ')) AS BIGINT) AS n_tokens
+FROM cleaned"""
+
+EDGES_DEC = """
+simple AS (SELECT DISTINCT decade, oa_id AS src, ref AS dst FROM hits),
+ends AS (SELECT decade, src AS node, 1 AS o, 0 AS i FROM simple
+         UNION ALL SELECT decade, dst AS node, 0 AS o, 1 AS i FROM simple),
+deg AS (SELECT decade, node, CAST(sum(i) AS BIGINT) AS in_degree,
+               CAST(sum(o) AS BIGINT) AS out_degree FROM ends GROUP BY decade, node)"""
+
+ORACLE["degree"] = f"""
+WITH {WORKS}, {HITS}, {EDGES_DEC}
+SELECT * FROM deg"""
+
+ORACLE["sinks_sources"] = f"""
+WITH {WORKS}, {HITS}, {EDGES_DEC}
+SELECT decade, count(*) AS n_nodes, count(*) FILTER (WHERE out_degree = 0) AS n_sinks,
+       count(*) FILTER (WHERE in_degree = 0) AS n_sources
+FROM deg GROUP BY decade"""
+
+ORACLE["top_topics"] = f"""
+WITH {WORKS}, {HITS}, {EDGES_DEC},
+counts AS (
+  SELECT d.decade, coalesce(w.topic, 'None') AS value, count(*) AS n
+  FROM deg d LEFT JOIN works w ON w.oa_id = d.node GROUP BY 1, 2),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY decade ORDER BY n DESC, value ASC) AS rank
+  FROM counts)
+SELECT decade, value, n, rank FROM ranked WHERE rank <= 30"""
+
+ORACLE["ref_membership"] = f"""
+WITH {WORKS},
+refs AS (SELECT {DECADE} AS decade, unnest(referenced_works) AS ref FROM works)
+SELECT r.decade, (w.oa_id IS NOT NULL) AS in_corpus, count(*) AS n_refs
+FROM refs r LEFT JOIN works w ON w.oa_id = r.ref GROUP BY 1, 2"""

@@ -53,3 +53,78 @@ def decade_histogram(spark, sf_dir):
 def missing_year(spark, sf_dir):
     """A2 + A3: total layer-0 works and those without a year."""
     return dec.missing_year_report(load_works(spark, sf_dir), layer=0)
+
+
+# --- normalisation and text -------------------------------------------------
+
+from citeweave.functions import normalize as nz  # noqa: E402
+from citeweave.functions import text as tx  # noqa: E402
+from citeweave.operators import graph as gr  # noqa: E402
+from citeweave.sources.tables import raw_works_from_documents, read_table  # noqa: E402
+
+
+@register
+def normalize_ids(spark, sf_dir):
+    """Raw API records -> normalised works (ids, DOI, title, abstract
+    rebuilt from its inverted index, references, topic fields)."""
+    raw = raw_works_from_documents(read_table(spark, sf_dir, "documents"))
+    return nz.normalize_works(raw)
+
+
+@register
+def merge_text(spark, sf_dir):
+    """title + newline + abstract per work."""
+    w = load_works(spark, sf_dir)
+    return w.select("oa_id", tx.merge_title_abstract().alias("text"))
+
+
+@register
+def clean_text(spark, sf_dir):
+    """Lower-cased, cleaned (NFKC + regex rules) text and its tokens."""
+    w = load_works(spark, sf_dir)
+    merged = tx.merge_title_abstract()
+    cleaned = (w.where(merged.isNotNull())
+               .select("oa_id", dec.decade_col("publication_year").alias("decade"),
+                       tx.clean_text(F.lower(merged)).alias("clean")))
+    return cleaned.select("oa_id", "decade", "clean",
+                          F.size(tx.tokenize("clean")).cast("bigint").alias("n_tokens"))
+
+
+@register
+def fill_rate_subfield(spark, sf_dir):
+    """A18 over normalised records: share of works with a non-empty subfield."""
+    raw = raw_works_from_documents(read_table(spark, sf_dir, "documents"))
+    return nz.fill_rate(nz.normalize_works(raw), "subfield")
+
+
+# --- graph statistics --------------------------------------------------------
+
+def _decade_edges(spark, sf_dir):
+    return gr.decade_graph_edges(dec.with_in_decade_references(load_works(spark, sf_dir)))
+
+
+@register
+def degree(spark, sf_dir):
+    """in/out degree of every node of each decade's citation graph."""
+    return gr.degrees(_decade_edges(spark, sf_dir), keys=("decade",))
+
+
+@register
+def sinks_sources(spark, sf_dir):
+    """Nodes, sinks and sources per decade graph."""
+    return gr.sinks_and_sources(_decade_edges(spark, sf_dir), keys=("decade",))
+
+
+@register
+def top_topics(spark, sf_dir):
+    """30 most frequent topics among each decade graph's nodes."""
+    works = load_works(spark, sf_dir)
+    edges = gr.decade_graph_edges(dec.with_in_decade_references(works))
+    nodes = gr.node_attributes(gr.graph_nodes(edges, keys=("decade",)), works)
+    return gr.top_values(nodes, "topic", 30, keys=("decade",))
+
+
+@register
+def ref_membership(spark, sf_dir):
+    """References per decade that hit / miss the corpus."""
+    return gr.reference_membership(load_works(spark, sf_dir))
