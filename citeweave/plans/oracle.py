@@ -189,3 +189,102 @@ WITH {WORKS},
 refs AS (SELECT {DECADE} AS decade, unnest(referenced_works) AS ref FROM works)
 SELECT r.decade, (w.oa_id IS NOT NULL) AS in_corpus, count(*) AS n_refs
 FROM refs r LEFT JOIN works w ON w.oa_id = r.ref GROUP BY 1, 2"""
+
+NORM_TITLE = """CASE WHEN {t} IS NULL OR {t} = '' THEN NULL
+     ELSE nullif(trim(regexp_replace(lower({t}), '\\s+', ' ', 'g')), '') END"""
+
+
+def d1_sql(src: str, out: str) -> str:
+    """CTEs computing the three-key greedy dedupe of CTE ``src`` (columns
+    seq, oa_id, doi, title) as rounds of a recursive CTE; ``out`` holds the
+    kept ``seq`` values."""
+    t = NORM_TITLE.format(t="title")
+    return f"""
+{out}_keys AS (
+  SELECT seq, kind, value FROM (
+    SELECT seq, 'doi' AS kind, nullif(lower(trim(doi)), '') AS value FROM {src}
+    UNION ALL SELECT seq, 'id', nullif(oa_id, '') FROM {src}
+    UNION ALL SELECT seq, 'title', {t} FROM {src}) WHERE value IS NOT NULL),
+{out}_state(it, seq, kind, value, status) AS (
+  SELECT 0, seq, kind, value, 'U' FROM {out}_keys
+  UNION ALL
+  SELECT it + 1, seq, kind, value, CASE WHEN win THEN 'K' ELSE 'U' END FROM (
+    SELECT *, bool_or(claimed) OVER (PARTITION BY seq) AS lost FROM (
+      SELECT *, bool_or(win AND seq = first) OVER (PARTITION BY kind, value) AS claimed FROM (
+        SELECT *, bool_and(seq = first) OVER (PARTITION BY seq) AS win FROM (
+          SELECT it, seq, kind, value, min(seq) OVER (PARTITION BY kind, value) AS first
+          FROM {out}_state WHERE status = 'U'))))
+  WHERE win OR NOT lost),
+{out} AS (
+  SELECT DISTINCT seq FROM {out}_state WHERE status = 'K'
+  UNION SELECT seq FROM {src} WHERE seq NOT IN (SELECT seq FROM {out}_keys))"""
+
+
+ORACLE["dedupe3"] = f"""
+WITH RECURSIVE {WORKS},
+d_src AS (SELECT struct_pack(layer := layer, oa_id := oa_id) AS seq, * FROM works),
+{d1_sql("d_src", "d_kept")}
+SELECT oa_id, doi, title, layer FROM d_src WHERE seq IN (SELECT seq FROM d_kept)"""
+
+
+def keys_sql(src: str) -> str:
+    t = NORM_TITLE.format(t="title")
+    return f"""(SELECT kind, value FROM (
+    SELECT 'doi' AS kind, nullif(lower(trim(doi)), '') AS value FROM {src}
+    UNION ALL SELECT 'id', nullif(oa_id, '') FROM {src}
+    UNION ALL SELECT 'title', {t} FROM {src}) WHERE value IS NOT NULL)"""
+
+
+def _blocked(src: str, kept: str) -> str:
+    """rows of ``src`` holding none of the keys of ``kept``"""
+    t = NORM_TITLE.format(t="s.title")
+    return f"""(SELECT s.* FROM {src} s WHERE NOT EXISTS (
+    SELECT 1 FROM {keys_sql(kept)} k WHERE
+      (k.kind = 'doi' AND k.value = nullif(lower(trim(s.doi)), '')) OR
+      (k.kind = 'id' AND k.value = nullif(s.oa_id, '')) OR
+      (k.kind = 'title' AND k.value = {t})))"""
+
+
+def _phrase(p: str) -> str:
+    return (f"(coalesce(instr(lower(title), '{p}') > 0, false) OR "
+            f"coalesce(instr(lower(abstract), '{p}') > 0, false))")
+
+
+def _citing(frontier: str, min_c: int, year_gt: int) -> str:
+    return f"""(SELECT oa_id AS seq, w.* FROM works w
+    WHERE w.cited_by_count > {min_c} AND w.publication_year > {year_gt}
+      AND EXISTS (SELECT 1 FROM (SELECT unnest(w.referenced_works) AS ref) r
+                  WHERE r.ref IN (SELECT oa_id FROM {frontier})))"""
+
+
+def _growth_sql() -> dict[str, str]:
+    from citeweave.plans.queries import (HOP_MIN_CITATIONS, HOP_YEAR_GT, SEARCH_TERM,
+                                         SEED_MIN_CITATIONS, SEED_YEAR_GT)
+    seeds = f"""
+s_src AS (SELECT oa_id AS seq, * FROM works
+          WHERE {_phrase(SEARCH_TERM)} AND cited_by_count > {SEED_MIN_CITATIONS}
+            AND publication_year > {SEED_YEAR_GT}),
+{d1_sql("s_src", "s_kept")},
+seeds AS (SELECT * EXCLUDE (seq) FROM s_src WHERE seq IN (SELECT seq FROM s_kept))"""
+    hop1 = f"""
+h1_src AS {_blocked(_citing("seeds", HOP_MIN_CITATIONS, HOP_YEAR_GT), "seeds")},
+{d1_sql("h1_src", "h1_kept")},
+hop1 AS (SELECT * EXCLUDE (seq) FROM h1_src WHERE seq IN (SELECT seq FROM h1_kept)),
+kept1 AS (SELECT * FROM seeds UNION ALL SELECT * FROM hop1)"""
+    hop2 = f"""
+h2_src AS {_blocked(_citing("hop1", HOP_MIN_CITATIONS, HOP_YEAR_GT), "kept1")},
+{d1_sql("h2_src", "h2_kept")},
+hop2 AS (SELECT * EXCLUDE (seq) FROM h2_src WHERE seq IN (SELECT seq FROM h2_kept))"""
+    cols = "oa_id, doi, title, publication_year, cited_by_count"
+    return {
+        "seed_search": f"WITH RECURSIVE {WORKS}, {seeds}\nSELECT {cols} FROM seeds",
+        "citing_semijoin": f"""WITH RECURSIVE {WORKS}, {seeds}
+SELECT {cols} FROM {_citing("seeds", HOP_MIN_CITATIONS, HOP_YEAR_GT)}""",
+        "expand_khop": f"""WITH RECURSIVE {WORKS}, {seeds}, {hop1}, {hop2}
+SELECT {cols}, CAST(0 AS BIGINT) AS layer FROM seeds
+UNION ALL SELECT {cols}, CAST(1 AS BIGINT) FROM hop1
+UNION ALL SELECT {cols}, CAST(2 AS BIGINT) FROM hop2""",
+    }
+
+
+ORACLE.update(_growth_sql())

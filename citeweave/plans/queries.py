@@ -128,3 +128,53 @@ def top_topics(spark, sf_dir):
 def ref_membership(spark, sf_dir):
     """References per decade that hit / miss the corpus."""
     return gr.reference_membership(load_works(spark, sf_dir))
+
+
+# --- dedupe and corpus growth -------------------------------------------------
+
+from citeweave.operators import dedupe as dd  # noqa: E402
+from citeweave.operators import expand as ex  # noqa: E402
+
+# Fixed query parameters of the corpus-growth queries on the stand-in corpus.
+SEARCH_TERM = "ouvi"
+SEED_MIN_CITATIONS = 50
+SEED_YEAR_GT = 1950
+HOP_MIN_CITATIONS = 20
+HOP_YEAR_GT = 1920
+HOPS = 2
+
+
+@register
+def dedupe3(spark, sf_dir):
+    """Three-key greedy dedupe of the whole corpus in (layer, id) order."""
+    kept = dd.greedy_dedupe(load_works(spark, sf_dir), ["layer", "oa_id"])
+    return kept.select("oa_id", "doi", "title", "layer")
+
+_GROWTH_COLS = ["oa_id", "doi", "title", "publication_year", "cited_by_count"]
+
+
+def _seeds(spark, sf_dir):
+    works = load_works(spark, sf_dir).drop("layer")
+    return works, ex.build_seed(works, SEARCH_TERM, SEED_MIN_CITATIONS, SEED_YEAR_GT)
+
+
+@register
+def seed_search(spark, sf_dir):
+    """G1: phrase search + citation/year thresholds + three-key dedupe."""
+    return _seeds(spark, sf_dir)[1].select(*_GROWTH_COLS)
+
+
+@register
+def citing_semijoin(spark, sf_dir):
+    """Works citing any seed, passing the hop thresholds."""
+    works, seeds = _seeds(spark, sf_dir)
+    return ex.citing_works(works, seeds, HOP_MIN_CITATIONS, HOP_YEAR_GT).select(*_GROWTH_COLS)
+
+
+@register
+def expand_khop(spark, sf_dir):
+    """Two-hop expansion from the seeds with per-hop dedupe and layers."""
+    works, seeds = _seeds(spark, sf_dir)
+    out = ex.expand(seeds, works, hops=HOPS, min_citations=HOP_MIN_CITATIONS,
+                    year_gt=HOP_YEAR_GT)
+    return out.select(*_GROWTH_COLS, "layer")
