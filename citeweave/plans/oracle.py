@@ -288,3 +288,91 @@ UNION ALL SELECT {cols}, CAST(2 AS BIGINT) FROM hop2""",
 
 
 ORACLE.update(_growth_sql())
+
+
+def _bins_values() -> str:
+    from citeweave.schema import DEFAULT_BINS
+    rows = ", ".join(f"({b[0]}, {d})" for b in DEFAULT_BINS for d in b)
+    return f"bins(bin, decade) AS (SELECT CAST(c1 AS BIGINT), CAST(c2 AS BIGINT) FROM (VALUES {rows}) v(c1, c2))"
+
+
+REPORT = f"""
+{_bins_values()},
+members_all AS (
+  SELECT b.bin, w.oa_id,
+         CAST(floor(CAST(substr(w.oa_id, 2) AS BIGINT) / 105) * 10 + (b.decade - b.bin) / 10 AS BIGINT)
+           AS cluster
+  FROM works w JOIN bins b ON b.decade = {DECADE.replace('publication_year', 'w.publication_year')}),
+sizes AS (SELECT bin, cluster, count(*) AS elements FROM members_all GROUP BY 1, 2),
+sel AS (SELECT bin, cluster, elements FROM (
+          SELECT *, row_number() OVER (PARTITION BY bin ORDER BY elements DESC, cluster ASC) AS r
+          FROM sizes) WHERE r <= 10 AND elements > 5),
+mem AS (SELECT m.* FROM members_all m JOIN sel s USING (bin, cluster)),
+dist AS (
+  SELECT bin, cluster, kind, value, n,
+         round(n / sum(n) OVER (PARTITION BY bin, cluster, kind), 9) AS share FROM (
+    SELECT bin, cluster, kind, value, count(*) AS n FROM (
+      SELECT m.bin, m.cluster, 'field' AS kind, w.field AS value FROM mem m JOIN works w USING (oa_id)
+      UNION ALL SELECT m.bin, m.cluster, 'domain', w."domain" FROM mem m JOIN works w USING (oa_id)
+      UNION ALL SELECT m.bin, m.cluster, 'topic', w.topic FROM mem m JOIN works w USING (oa_id))
+    WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4)),
+dom AS (
+  SELECT bin, cluster, value AS dominant_field, share AS dominant_share FROM (
+    SELECT *, row_number() OVER (PARTITION BY bin, cluster ORDER BY share DESC, value ASC) AS r
+    FROM dist WHERE kind = 'field') WHERE r = 1),
+cc AS (SELECT bin, cluster, ref, count(*) AS n FROM (
+         SELECT m.bin, m.cluster, unnest(w.referenced_works) AS ref
+         FROM mem m JOIN works w USING (oa_id)) GROUP BY 1, 2, 3),
+hit AS (SELECT c.*, t.bin AS dst_bin, t.cluster AS dst_cluster
+        FROM cc c LEFT JOIN mem t ON t.oa_id = c.ref),
+links AS (SELECT bin, cluster, dst_bin, dst_cluster, CAST(sum(n) AS BIGINT) AS links FROM hit
+          WHERE dst_cluster IS NOT NULL AND NOT (dst_bin = bin AND dst_cluster = cluster)
+          GROUP BY 1, 2, 3, 4),
+weights AS (
+  SELECT l.*, s.elements AS src_elements, d.elements AS dst_elements,
+         round(l.links / (s.elements * d.elements), 9) AS weight
+  FROM links l JOIN sel s ON s.bin = l.bin AND s.cluster = l.cluster
+  JOIN sel d ON d.bin = l.dst_bin AND d.cluster = l.dst_cluster)"""
+
+ORACLE["cluster_sizes"] = f"WITH {WORKS}, {REPORT}\nSELECT * FROM sizes"
+ORACLE["topn_clusters"] = f"WITH {WORKS}, {REPORT}\nSELECT * FROM sel"
+ORACLE["distributions"] = f"WITH {WORKS}, {REPORT}\nSELECT * FROM dist"
+ORACLE["dominant_field"] = f"WITH {WORKS}, {REPORT}\nSELECT * FROM dom"
+ORACLE["link_counts"] = f"WITH {WORKS}, {REPORT}\nSELECT * FROM links"
+ORACLE["link_weights"] = f"WITH {WORKS}, {REPORT}\nSELECT * FROM weights"
+ORACLE["self_citation_share"] = f"""WITH {WORKS}, {REPORT},
+per AS (SELECT bin, cluster,
+               sum(CASE WHEN dst_bin = bin AND dst_cluster = cluster THEN n ELSE 0 END) AS intra,
+               sum(n) AS total FROM hit GROUP BY 1, 2)
+SELECT s.bin, s.cluster, CAST(coalesce(intra, 0) AS BIGINT) AS intra_citations,
+       CAST(coalesce(total, 0) AS BIGINT) AS total_citations,
+       CASE WHEN coalesce(total, 0) > 0 THEN round(intra / total, 9) ELSE 0.0 END
+         AS intracluster_link_ratio
+FROM sel s LEFT JOIN per p USING (bin, cluster)"""
+ORACLE["layout"] = f"""WITH {WORKS}, {REPORT},
+ranks AS (SELECT value AS field, row_number() OVER (ORDER BY value) - 1 AS field_rank
+          FROM (SELECT DISTINCT value FROM dist WHERE kind = 'field')),
+nodes AS (
+  SELECT s.*, d.dominant_field, r.field_rank,
+         coalesce(r.field_rank, (SELECT count(*) FROM ranks) + 1) AS sort_rank
+  FROM sel s LEFT JOIN dom d USING (bin, cluster) LEFT JOIN ranks r ON r.field = d.dominant_field)
+SELECT CAST(bin AS VARCHAR) || '-' || CAST(cluster AS VARCHAR) AS node_id, bin, cluster, elements,
+       dominant_field, CAST(sort_rank AS BIGINT) AS sort_rank, CAST(bin AS DOUBLE) AS x,
+       round(CAST(row_number() OVER (PARTITION BY bin ORDER BY sort_rank, elements DESC, cluster) - 1
+                  AS DOUBLE) * 1.4, 9) AS y,
+       round(100 * ln(greatest(elements * 35, 1)), 9) AS display_size,
+       CAST(field_rank % 20 AS BIGINT) AS palette_slot, field_rank IS NULL AS grey,
+       CAST(cluster AS VARCHAR) AS label
+FROM nodes"""
+ORACLE["evolution_edges"] = f"""WITH {WORKS}, {REPORT}
+SELECT CAST(bin AS VARCHAR) || '-' || CAST(cluster AS VARCHAR) AS src,
+       CAST(dst_bin AS VARCHAR) || '-' || CAST(dst_cluster AS VARCHAR) AS dst,
+       weight, round(100 * weight, 9) AS width
+FROM weights"""
+ORACLE["bin_network"] = f"""WITH {WORKS}, {REPORT}
+SELECT b.bin, w.oa_id AS id, coalesce(w.topic, '') AS topic, coalesce(w.field, '') AS field,
+       coalesce(w."domain", '') AS "domain", CAST(coalesce(m.cluster, -1) AS BIGINT) AS cluster
+FROM works w JOIN bins b ON b.decade = {DECADE.replace('publication_year', 'w.publication_year')}
+LEFT JOIN mem m ON m.bin = b.bin AND m.oa_id = w.oa_id"""
+ORACLE["bin_network_edges"] = f"""WITH {WORKS}, {HITS}, {_bins_values()}
+SELECT DISTINCT b.bin, h.oa_id AS src, h.ref AS dst FROM hits h JOIN bins b ON b.decade = h.decade"""

@@ -178,3 +178,90 @@ def expand_khop(spark, sf_dir):
     out = ex.expand(seeds, works, hops=HOPS, min_citations=HOP_MIN_CITATIONS,
                     year_gt=HOP_YEAR_GT)
     return out.select(*_GROWTH_COLS, "layer")
+
+
+# --- cluster report on a given membership -----------------------------------
+
+from citeweave.operators import clusters as cl  # noqa: E402
+from citeweave.operators import evolution as ev  # noqa: E402
+from citeweave.schema import CLUSTER_SIZE_CUTOFF, DEFAULT_BINS, TOP_N_CLUSTERS  # noqa: E402
+from citeweave.sources.tables import planted_membership  # noqa: E402
+
+
+def _report(spark, sf_dir):
+    works = load_works(spark, sf_dir)
+    membership = planted_membership(works, DEFAULT_BINS)
+    return works, membership, cl.cluster_report(works, membership, TOP_N_CLUSTERS,
+                                                CLUSTER_SIZE_CUTOFF)
+
+
+@register
+def cluster_sizes(spark, sf_dir):
+    """Size of every cluster of the membership."""
+    works = load_works(spark, sf_dir)
+    return cl.cluster_sizes(planted_membership(works, DEFAULT_BINS))
+
+
+@register
+def topn_clusters(spark, sf_dir):
+    """W3 + P12: top 10 clusters per bin by size, then size > 5."""
+    return _report(spark, sf_dir)[2]["clusters"]
+
+
+@register
+def distributions(spark, sf_dir):
+    """A5 + A6: normalised field/domain/topic distributions per cluster."""
+    return _report(spark, sf_dir)[2]["distributions"]
+
+
+@register
+def dominant_field(spark, sf_dir):
+    """Dominant field per selected cluster."""
+    return _report(spark, sf_dir)[2]["dominant_field"]
+
+
+@register
+def link_counts(spark, sf_dir):
+    """A7 + A8 + J5: citations between different selected clusters."""
+    rep = _report(spark, sf_dir)[2]
+    return rep["links"].select("bin", "cluster", "dst_bin", "dst_cluster", "links")
+
+
+@register
+def link_weights(spark, sf_dir):
+    """A9 + J7: links normalised by the product of both cluster sizes."""
+    return _report(spark, sf_dir)[2]["links"]
+
+
+@register
+def self_citation_share(spark, sf_dir):
+    """A10: share of each cluster's references pointing into itself."""
+    return _report(spark, sf_dir)[2]["self_share"]
+
+
+@register
+def layout(spark, sf_dir):
+    """G11 + W1 + W2 + F15 + F16: evolution-graph node layout and display."""
+    rep = _report(spark, sf_dir)[2]
+    ranks = ev.field_ranks(rep["distributions"])
+    return ev.layout(rep["clusters"], rep["dominant_field"], ranks)
+
+
+@register
+def evolution_edges(spark, sf_dir):
+    """Weighted edges between cluster nodes."""
+    return ev.evolution_edges(_report(spark, sf_dir)[2]["links"])
+
+
+@register
+def bin_network(spark, sf_dir):
+    """G9 nodes: works of each bin with attributes and cluster (-1 if none)."""
+    works, membership, rep = _report(spark, sf_dir)
+    return cl.bin_network(works, dec.bins_table(spark, DEFAULT_BINS), rep["members"])
+
+
+@register
+def bin_network_edges(spark, sf_dir):
+    """G9 edges: distinct in-bin citation edges."""
+    works = dec.with_in_decade_references(load_works(spark, sf_dir))
+    return cl.bin_network_edges(works, dec.bins_table(spark, DEFAULT_BINS))
