@@ -376,3 +376,57 @@ FROM works w JOIN bins b ON b.decade = {DECADE.replace('publication_year', 'w.pu
 LEFT JOIN mem m ON m.bin = b.bin AND m.oa_id = w.oa_id"""
 ORACLE["bin_network_edges"] = f"""WITH {WORKS}, {HITS}, {_bins_values()}
 SELECT DISTINCT b.bin, h.oa_id AS src, h.ref AS dst FROM hits h JOIN bins b ON b.decade = h.decade"""
+
+
+def phrase_pass_sql(p: str, toks: str) -> str:
+    """CTEs of one phrase pass over CTE ``toks`` (oa_id, tokens): ``{p}_phr``
+    holds the learned phrases, ``{p}_out`` the rewritten (oa_id, tokens)."""
+    return f"""
+{p}_tok1 AS (SELECT oa_id, unnest(tokens) AS t, generate_subscripts(tokens, 1) - 1 AS pos
+             FROM {toks}),
+{p}_pairs AS (SELECT a.oa_id, a.pos, a.t AS a, b.t AS b FROM {p}_tok1 a
+              JOIN {p}_tok1 b ON b.oa_id = a.oa_id AND b.pos = a.pos + 1),
+{p}_vocab AS (SELECT k, count(*) AS n FROM (
+                SELECT t AS k FROM {p}_tok1 UNION ALL SELECT a || '_' || b FROM {p}_pairs)
+              GROUP BY k),
+{p}_cand AS (SELECT DISTINCT a, b, a || '_' || b AS phrase FROM {p}_pairs),
+{p}_scored AS (
+  SELECT c.a, c.b, c.phrase, vab.n AS n_ab, va.n AS n_a, vb.n AS n_b,
+         (vab.n - 5) / (va.n * vb.n) * (SELECT count(*) FROM {p}_vocab) AS score
+  FROM {p}_cand c JOIN {p}_vocab vab ON vab.k = c.phrase JOIN {p}_vocab va ON va.k = c.a
+  JOIN {p}_vocab vb ON vb.k = c.b WHERE vab.n > 5),
+{p}_phr AS (SELECT a, b, phrase, n_ab, n_a, n_b, round(score, 9) AS score
+            FROM {p}_scored WHERE score > 10),
+{p}_hits AS (SELECT x.oa_id, x.pos, ph.phrase FROM {p}_pairs x
+             JOIN {p}_phr ph ON ph.a = x.a AND ph.b = x.b),
+{p}_runs AS (SELECT *, coalesce(lag(pos) OVER (PARTITION BY oa_id ORDER BY pos) <> pos - 1, true)
+               AS st FROM {p}_hits),
+{p}_runs2 AS (SELECT *, max(CASE WHEN st THEN pos END) OVER (
+                PARTITION BY oa_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                AS rs FROM {p}_runs),
+{p}_kept AS (SELECT oa_id, pos, phrase FROM {p}_runs2 WHERE (pos - rs) % 2 = 0),
+{p}_marked AS (
+  SELECT t.oa_id, t.pos,
+         CASE WHEN k.phrase IS NOT NULL THEN k.phrase WHEN k2.pos IS NOT NULL THEN NULL
+              ELSE t.t END AS tok
+  FROM {p}_tok1 t LEFT JOIN {p}_kept k ON k.oa_id = t.oa_id AND k.pos = t.pos
+  LEFT JOIN {p}_kept k2 ON k2.oa_id = t.oa_id AND k2.pos = t.pos - 1),
+{p}_out AS (
+  SELECT x.oa_id, coalesce(y.tokens, []::VARCHAR[]) AS tokens FROM {toks} x LEFT JOIN (
+    SELECT oa_id, list(tok ORDER BY pos) AS tokens FROM {p}_marked
+    WHERE tok IS NOT NULL AND tok <> '' GROUP BY oa_id) y ON y.oa_id = x.oa_id)"""
+
+
+CORPUS = f"""
+cleaned AS (
+  SELECT oa_id, {_clean(f"lower({MERGED})")} AS clean
+  FROM works WHERE ({MERGED}) IS NOT NULL),
+toks AS (SELECT oa_id, string_split(clean, ' ') AS tokens FROM cleaned)"""
+
+ORACLE["phrases"] = f"""WITH {WORKS}, {CORPUS}, {phrase_pass_sql("b1", "toks")}
+SELECT * FROM b1_phr"""
+ORACLE["phrase_apply"] = f"""WITH {WORKS}, {CORPUS}, {phrase_pass_sql("b1", "toks")}
+SELECT * FROM b1_out"""
+ORACLE["trigram_phrases"] = f"""WITH {WORKS}, {CORPUS}, {phrase_pass_sql("b1", "toks")},
+{phrase_pass_sql("b2", "b1_out")}
+SELECT * FROM b2_phr"""

@@ -265,3 +265,33 @@ def bin_network_edges(spark, sf_dir):
     """G9 edges: distinct in-bin citation edges."""
     works = dec.with_in_decade_references(load_works(spark, sf_dir))
     return cl.bin_network_edges(works, dec.bins_table(spark, DEFAULT_BINS))
+
+
+# --- phrases and vectors ------------------------------------------------------
+
+from citeweave.operators import phrases as ph  # noqa: E402
+
+
+def _tokens(spark, sf_dir):
+    return tx.corpus_tokens(load_works(spark, sf_dir)).select("oa_id", "tokens")
+
+
+@register
+def phrases(spark, sf_dir):
+    """M1: bigram phrases of the cleaned title+abstract corpus."""
+    return ph.learn_phrases(_tokens(spark, sf_dir))
+
+
+@register
+def phrase_apply(spark, sf_dir):
+    """M2: the corpus rewritten with its bigram phrases."""
+    corpus = _tokens(spark, sf_dir)
+    table = ph.learn_phrases(corpus)
+    return ph.apply_phrases(corpus, table).select("oa_id", "tokens")
+
+
+@register
+def trigram_phrases(spark, sf_dir):
+    """M3: phrases learned on the bigram-phrased corpus (second pass)."""
+    _, tables = ph.phrase_corpus(_tokens(spark, sf_dir), passes=2)
+    return tables[1]
