@@ -430,3 +430,22 @@ SELECT * FROM b1_out"""
 ORACLE["trigram_phrases"] = f"""WITH {WORKS}, {CORPUS}, {phrase_pass_sql("b1", "toks")},
 {phrase_pass_sql("b2", "b1_out")}
 SELECT * FROM b2_phr"""
+
+ORACLE["vector_topk"] = """
+WITH dims AS (
+  SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings),
+cent AS (
+  SELECT label AS query, list(m ORDER BY d) AS qv FROM (
+    SELECT label, d, avg(CAST(x AS DOUBLE)) AS m FROM dims GROUP BY label, d) GROUP BY label),
+vecs AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings),
+scored AS (
+  SELECT c.query, e.vec_id,
+         round(list_sum(list_transform(list_zip(e.v, c.qv), lambda p: p[1] * p[2]))
+               / (sqrt(list_sum(list_transform(e.v, lambda a: a * a)))
+                  * sqrt(list_sum(list_transform(c.qv, lambda a: a * a)))), 9) AS similarity
+  FROM vecs e, cent c
+  WHERE list_sum(list_transform(e.v, lambda a: a * a)) > 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id ASC) AS rank
+  FROM scored)
+SELECT query, vec_id, similarity, rank FROM ranked WHERE rank <= 20"""

@@ -295,3 +295,23 @@ def trigram_phrases(spark, sf_dir):
     """M3: phrases learned on the bigram-phrased corpus (second pass)."""
     _, tables = ph.phrase_corpus(_tokens(spark, sf_dir), passes=2)
     return tables[1]
+
+from citeweave.operators import vectors as vx  # noqa: E402
+
+
+@register
+def vector_topk(spark, sf_dir):
+    """M5 general form: the 20 vectors nearest (cosine) to each label centroid."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    cents = vx.centroids(emb).select(F.col("label").alias("query"),
+                                     F.col("centroid").alias("query_vec"))
+    return vx.cosine_topk(emb, cents, k=vx.TOP_K)
+
+
+@register
+def word2vec(spark, sf_dir):
+    """M4: skip-gram vectors (300 dims, window 5, min count 10, 10 epochs,
+    subsampling 1e-4) on the trigram-phrased corpus; the vector table."""
+    corpus, _ = ph.phrase_corpus(_tokens(spark, sf_dir), passes=2)
+    model = vx.train_word2vec(corpus)
+    return vx.word_vectors(model)
