@@ -1,0 +1,41 @@
+"""Community detection on citation graphs keyed by bin.
+
+``detect(edges, method)`` takes (bin, src, dst[, weight]) rows - one graph
+per bin, all solved in the same Spark jobs - and returns (bin, node,
+cluster) with cluster ids 0..k-1 per bin by size.  Parallel edges add
+weight; self-loops are kept.
+"""
+
+from __future__ import annotations
+
+from enum import Enum
+
+from pyspark.sql import DataFrame
+
+from citeweave.operators.community import framework as fw
+
+
+class Method(Enum):
+    LEIDEN = "leiden"
+    INFOMAP = "infomap"
+    SBM = "sbm"
+
+
+def detect(edges: DataFrame, method: str, weight: str | None = None,
+           seed: int = 0, log: list | None = None) -> DataFrame:
+    """Dispatch on a case-insensitive method name; unknown -> ValueError."""
+    try:
+        m = Method(str(method).lower())
+    except ValueError:
+        raise ValueError(f"Unsupported clustering method: {method}") from None
+    ids, e = fw.index_nodes(fw.weighted_edges(edges, weight))
+    if m is Method.LEIDEN:
+        from citeweave.operators.community.modularity import optimise
+        member, _ = optimise(e, seed=seed, log=log)
+    elif m is Method.INFOMAP:
+        from citeweave.operators.community.mapeq import optimise as infomap
+        member = infomap(e, seed=seed, log=log)
+    else:
+        from citeweave.operators.community.sbm import optimise as sbm
+        member = sbm(e, seed=seed, log=log)
+    return fw.relabel(ids, member)
