@@ -39,3 +39,43 @@ def detect(edges: DataFrame, method: str, weight: str | None = None,
         from citeweave.operators.community.sbm import optimise as sbm
         member = sbm(e, seed=seed, log=log)
     return fw.relabel(ids, member)
+
+
+def _in_id_space(edges: DataFrame, membership: DataFrame, weight: str | None):
+    from pyspark.sql import functions as F
+    ids, e = fw.index_nodes(fw.weighted_edges(edges, weight))
+    if "bin" not in membership.columns:
+        membership = membership.withColumn("bin", F.lit(0).cast("bigint"))
+    m = membership.join(ids, ["bin", "node"]).select("bin", "nid", F.col("cluster").alias("comm"))
+    return ids, e, m
+
+
+def partition_modularity(edges: DataFrame, membership: DataFrame,
+                         weight: str | None = None) -> DataFrame:
+    """Directed modularity of a given partition (bin, node, cluster) per bin."""
+    from pyspark.sql import functions as F
+
+    from citeweave.operators.community.modularity import modularity
+    _, e, m = _in_id_space(edges, membership, weight)
+    return modularity(e, m).select("bin", F.round("obj", 9).alias("modularity"))
+
+
+def partition_codelength(edges: DataFrame, membership: DataFrame,
+                         weight: str | None = None) -> DataFrame:
+    """Two-level map-equation codelength (bits) of a given partition."""
+    from pyspark.sql import functions as F
+
+    from citeweave.operators.community import mapeq
+    _, e, m = _in_id_space(edges, membership, weight)
+    p = mapeq.pagerank(e)
+    return (mapeq.codelength(mapeq.link_flow(e, p), p, m)
+            .select("bin", F.round("L", 9).alias("codelength")))
+
+
+def partition_description_length(edges: DataFrame, membership: DataFrame) -> DataFrame:
+    """Degree-corrected SBM description length (nats) of a given partition."""
+    from pyspark.sql import functions as F
+
+    from citeweave.operators.community.sbm import description_length
+    _, e, m = _in_id_space(edges, membership, None)
+    return description_length(e, m).select("bin", F.round("dl", 9).alias("description_length"))

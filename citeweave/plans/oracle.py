@@ -449,3 +449,17 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id ASC) AS rank
   FROM scored)
 SELECT query, vec_id, similarity, rank FROM ranked WHERE rank <= 20"""
+
+ORACLE["modularity_of_partition"] = f"""
+WITH {WORKS}, {HITS}, {REPORT},
+e AS (SELECT b.bin, h.oa_id AS src, h.ref AS dst FROM hits h JOIN bins b ON b.decade = h.decade),
+ms AS (SELECT e.*, a.cluster AS cs, d.cluster AS cd FROM e
+       JOIN members_all a ON a.bin = e.bin AND a.oa_id = e.src
+       JOIN members_all d ON d.bin = e.bin AND d.oa_id = e.dst),
+tot AS (SELECT bin, count(*) AS m, count(*) FILTER (WHERE cs = cd) AS inside FROM ms GROUP BY bin),
+kc AS (SELECT bin, cluster, sum(ko) AS ko, sum(ki) AS ki FROM (
+         SELECT bin, cs AS cluster, 1 AS ko, 0 AS ki FROM ms
+         UNION ALL SELECT bin, cd, 0, 1 FROM ms) GROUP BY bin, cluster),
+kk AS (SELECT bin, sum(ko * ki) AS kk FROM kc GROUP BY bin)
+SELECT t.bin, round(t.inside / t.m - k.kk / (t.m * t.m), 9) AS modularity
+FROM tot t JOIN kk k USING (bin)"""

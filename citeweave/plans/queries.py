@@ -20,8 +20,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def register(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    """Add a query to the registry; the package is shipped to the Python
+    workers first so Arrow UDFs can import it."""
+    import functools
+
+    from citeweave.session import ship_package
+
+    @functools.wraps(fn)
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 @register
@@ -315,3 +326,46 @@ def word2vec(spark, sf_dir):
     corpus, _ = ph.phrase_corpus(_tokens(spark, sf_dir), passes=2)
     model = vx.train_word2vec(corpus)
     return vx.word_vectors(model)
+
+
+# --- community detection ----------------------------------------------------------
+
+from citeweave.operators import community as cm  # noqa: E402
+
+
+def _bin_edges(spark, sf_dir):
+    """G3 + U1: each bin's citation graph from in-decade references (parallel
+    references and self-references kept)."""
+    works = dec.with_in_decade_references(load_works(spark, sf_dir))
+    bins = dec.bins_table(spark, DEFAULT_BINS)
+    return (works.select(dec.decade_col("publication_year").alias("decade"), "oa_id",
+                         "in_decade_references")
+            .join(F.broadcast(bins), "decade")
+            .select("bin", F.col("oa_id").alias("src"),
+                    F.explode("in_decade_references").alias("dst")))
+
+
+@register
+def leiden(spark, sf_dir):
+    """G4 + G7: communities of every bin by multi-level directed modularity."""
+    return cm.detect(_bin_edges(spark, sf_dir), "leiden")
+
+
+@register
+def infomap(spark, sf_dir):
+    """G5 + G7: communities of every bin by the two-level map equation."""
+    return cm.detect(_bin_edges(spark, sf_dir), "infomap")
+
+
+@register
+def sbm(spark, sf_dir):
+    """G6 + G7: blocks of every bin by degree-corrected SBM description length."""
+    return cm.detect(_bin_edges(spark, sf_dir), "sbm")
+
+
+@register
+def modularity_of_partition(spark, sf_dir):
+    """Directed modularity of the planted partition of every bin."""
+    works = load_works(spark, sf_dir)
+    member = planted_membership(works, DEFAULT_BINS).withColumnRenamed("oa_id", "node")
+    return cm.partition_modularity(_bin_edges(spark, sf_dir), member)

@@ -81,3 +81,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{base}/citeweave-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``citeweave`` importable in Python workers (for the few Arrow
+    UDFs): zip the package once per context and add it with ``addPyFile``."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_citeweave_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="citeweave-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    sc._citeweave_shipped = True
