@@ -68,11 +68,17 @@ def greedy_dedupe(works: DataFrame, order_by: list[str],
         tagged = tagged.join(blocked, "_seq", "left_anti")
         exploded = exploded.join(blocked, "_seq", "left_anti")
 
-    # a work without any key conflicts with nothing: kept directly
-    keyless = tagged.join(exploded.select("_seq").distinct(), "_seq", "left_anti").select("_seq")
-
-    undecided = cut_lineage(exploded)
-    kept_parts = [keyless]
+    # a work none of whose keys is shared (or that has no key) conflicts with
+    # nothing: it is kept and blocks no one, so only works holding a shared
+    # key enter the rounds
+    shared = (exploded.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("_n"))
+              .where(F.col("_n") > 1).drop("_n"))
+    conflicted = cut_lineage(exploded.join(shared, ["kind", "value"], "left_semi")
+                             .select("_seq").distinct())
+    free = tagged.select("_seq").join(conflicted, "_seq", "left_anti")
+
+    undecided = cut_lineage(exploded.join(conflicted, "_seq", "left_semi"))
+    kept_parts = [free]
     for _ in range(MAX_ROUNDS):
         if undecided.isEmpty():
             break

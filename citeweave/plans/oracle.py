@@ -463,3 +463,25 @@ kc AS (SELECT bin, cluster, sum(ko) AS ko, sum(ki) AS ki FROM (
 kk AS (SELECT bin, sum(ko * ki) AS kk FROM kc GROUP BY bin)
 SELECT t.bin, round(t.inside / t.m - k.kk / (t.m * t.m), 9) AS modularity
 FROM tot t JOIN kk k USING (bin)"""
+
+ORACLE["append_new_only"] = f"""
+WITH {WORKS}, {RAW},
+batch AS (SELECT oa_id, title, publication_year, 0 AS src FROM works
+          UNION ALL SELECT oa_id, title, publication_year, 1 FROM normalized),
+firsts AS (SELECT oa_id, title, publication_year FROM (
+             SELECT *, row_number() OVER (PARTITION BY oa_id ORDER BY src) AS r FROM batch)
+           WHERE r = 1)
+SELECT f.* FROM firsts f WHERE f.oa_id NOT IN (
+  SELECT oa_id FROM works WHERE publication_year < 1980)"""
+
+ORACLE["update_from"] = f"""
+WITH {WORKS}, {RAW}
+SELECT w.oa_id, CASE WHEN n.oa_id IS NOT NULL THEN n.subfield ELSE w.subfield END AS subfield
+FROM works w LEFT JOIN (SELECT * FROM normalized WHERE publication_year >= 1950) n
+  ON n.oa_id = w.oa_id"""
+
+ORACLE["enrich_left"] = f"""
+WITH {WORKS}, {RAW}
+SELECT w.oa_id, w.publication_year, n.topic AS api_topic
+FROM works w LEFT JOIN (SELECT * FROM normalized WHERE publication_year >= 1950) n
+  ON n.oa_id = w.oa_id"""

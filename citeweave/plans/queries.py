@@ -284,7 +284,10 @@ from citeweave.operators import phrases as ph  # noqa: E402
 
 
 def _tokens(spark, sf_dir):
-    return tx.corpus_tokens(load_works(spark, sf_dir)).select("oa_id", "tokens")
+    """The cleaned token corpus, materialised once (phrase learning reads it
+    several times)."""
+    from citeweave.session import cut_lineage
+    return cut_lineage(tx.corpus_tokens(load_works(spark, sf_dir)).select("oa_id", "tokens"))
 
 
 @register
@@ -369,3 +372,46 @@ def modularity_of_partition(spark, sf_dir):
     works = load_works(spark, sf_dir)
     member = planted_membership(works, DEFAULT_BINS).withColumnRenamed("oa_id", "node")
     return cm.partition_modularity(_bin_edges(spark, sf_dir), member)
+
+
+# --- table maintenance ----------------------------------------------------------
+
+from citeweave.operators import merge as mg  # noqa: E402
+from citeweave.sinks import tables as sk  # noqa: E402
+
+
+def _normalized(spark, sf_dir):
+    raw = raw_works_from_documents(read_table(spark, sf_dir, "documents"))
+    return nz.normalize_works(raw)
+
+
+@register
+def append_new_only(spark, sf_dir):
+    """K3: a batch holding every work twice (stored form first, then the
+    re-normalised API record) appended to the works before 1980 with
+    ON CONFLICT DO NOTHING: first row per key wins, stored keys are skipped."""
+    works = load_works(spark, sf_dir).select("oa_id", "title", "publication_year")
+    target = works.where(F.col("publication_year") < 1980)
+    batch = (works.withColumn("_src", F.lit(0))
+             .unionByName(_normalized(spark, sf_dir)
+                          .select("oa_id", "title", "publication_year")
+                          .withColumn("_src", F.lit(1))))
+    return sk.new_rows_only(target, batch, ["oa_id"], ["_src"]).drop("_src")
+
+
+@register
+def update_from(spark, sf_dir):
+    """Subfields of works from 1950 on replaced by the API records'
+    (NULL when the record has no topic); earlier works keep theirs."""
+    works = load_works(spark, sf_dir).select("oa_id", "subfield")
+    updates = _normalized(spark, sf_dir).where(F.col("publication_year") >= 1950)
+    return mg.update_from(works, updates.select("oa_id", "subfield"), "oa_id", "subfield")
+
+
+@register
+def enrich_left(spark, sf_dir):
+    """Works enriched with the API records' topic for works from 1950 on."""
+    works = load_works(spark, sf_dir).select("oa_id", "publication_year")
+    lookup = (_normalized(spark, sf_dir).where(F.col("publication_year") >= 1950)
+              .select("oa_id", F.col("topic").alias("api_topic")))
+    return mg.enrich(works, lookup, "oa_id", "api_topic")
