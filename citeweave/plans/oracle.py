@@ -485,3 +485,28 @@ WITH {WORKS}, {RAW}
 SELECT w.oa_id, w.publication_year, n.topic AS api_topic
 FROM works w LEFT JOIN (SELECT * FROM normalized WHERE publication_year >= 1950) n
   ON n.oa_id = w.oa_id"""
+
+ORACLE["docs_per_decade"] = f"""
+WITH {WORKS}
+SELECT {DECADE} AS decade, count(*) AS n_docs FROM works WHERE ({MERGED}) IS NOT NULL GROUP BY 1"""
+
+ORACLE["field_ranks"] = f"""
+WITH {WORKS}, {REPORT}
+SELECT field, field_rank, field_rank % 20 AS palette_slot FROM (
+  SELECT value AS field, CAST(row_number() OVER (ORDER BY value) - 1 AS BIGINT) AS field_rank
+  FROM (SELECT DISTINCT value FROM dist WHERE kind = 'field'))"""
+
+ORACLE["dominant_fields_set"] = f"""
+WITH {WORKS}, {REPORT}
+SELECT DISTINCT dominant_field AS field FROM dom"""
+
+ORACLE["batches"] = f"""
+WITH {WORKS}
+SELECT oa_id, CAST(floor((row_number() OVER (ORDER BY oa_id) - 1) / 100) AS BIGINT) AS batch
+FROM works"""
+
+ORACLE["csv_roundtrip"] = f"""
+WITH {WORKS}
+SELECT oa_id, nullif(doi, '') AS doi, nullif(title, '') AS title, publication_year,
+       nullif(abstract, '') AS abstract, referenced_works, nullif(topic, '') AS topic
+FROM works"""

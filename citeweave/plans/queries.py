@@ -415,3 +415,60 @@ def enrich_left(spark, sf_dir):
     lookup = (_normalized(spark, sf_dir).where(F.col("publication_year") >= 1950)
               .select("oa_id", F.col("topic").alias("api_topic")))
     return mg.enrich(works, lookup, "oa_id", "api_topic")
+
+
+# --- more aggregates, export round trip, report document ----------------------
+
+
+@register
+def docs_per_decade(spark, sf_dir):
+    """Works with text (title or abstract) per decade."""
+    w = load_works(spark, sf_dir)
+    return (w.where(tx.merge_title_abstract().isNotNull())
+            .groupBy(dec.decade_col("publication_year").alias("decade"))
+            .agg(F.count(F.lit(1)).alias("n_docs")))
+
+
+@register
+def field_ranks(spark, sf_dir):
+    """A16 + W2: every field of the cluster distributions, its sorted rank
+    and palette slot."""
+    return ev.field_ranks(_report(spark, sf_dir)[2]["distributions"])
+
+
+@register
+def dominant_fields_set(spark, sf_dir):
+    """The fields that dominate at least one selected cluster."""
+    return ev.dominant_fields(_report(spark, sf_dir)[2]["dominant_field"])
+
+
+@register
+def batches(spark, sf_dir):
+    """Works numbered into batches of 100 in id order (last one short)."""
+    w = load_works(spark, sf_dir).select("oa_id")
+    return mg.batch_numbers(w, 100, ["oa_id"])
+
+
+@register
+def csv_roundtrip(spark, sf_dir):
+    """K6 + S3: the works table exported to CSV.gz (JSON text for arrays,
+    header, ordered by id) and loaded back by header name."""
+    import uuid
+
+    from citeweave.schema import WORK
+    from citeweave.session import ensure_checkpoint_dir
+    from citeweave.sources.files import load_csv
+    cols = ["oa_id", "doi", "title", "publication_year", "abstract", "referenced_works", "topic"]
+    works = load_works(spark, sf_dir).select(*cols)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}.csv.gz"
+    sk.export_csv(works, path)
+    schema = F.struct(*[F.lit(None).cast(WORK[c].dataType).alias(c) for c in cols])
+    return load_csv(spark, path, works.select(schema.alias("s")).select("s.*").schema)
+
+
+@register
+def cluster_report_document(spark, sf_dir):
+    """The cluster report as one JSON document {bin: {cluster: record}}."""
+    rep = _report(spark, sf_dir)[2]
+    return sk.cluster_report_json(rep["clusters"], rep["distributions"], rep["links"],
+                                  rep["self_share"])

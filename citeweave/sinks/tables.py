@@ -179,7 +179,8 @@ def export_csv(df: DataFrame, path: str, order_by_first: bool = True,
     if order_by_first:
         out = out.orderBy(out.columns[0])
     compress = gzip if gzip is not None else path.endswith(".gz")
-    w = out.write.mode("overwrite").option("header", True).option("escape", '"')
+    w = (out.write.mode("overwrite").option("header", True).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if compress:
         w = w.option("compression", "gzip")
     w.csv(path)
@@ -237,11 +238,11 @@ def _cluster_record_rows(clusters: DataFrame, dist: DataFrame, links: DataFrame,
 
 def cluster_records(clusters: DataFrame, dist: DataFrame, links: DataFrame,
                     self_share: DataFrame) -> DataFrame:
-    """K12, line form: (bin, cluster, value) with one JSON record per cluster.
+    """K12, line form: one JSON line per cluster with its bin and id.
     Each cluster's distributions are aggregated separately, so no row holds
     more than one cluster's record."""
     rec = _cluster_record_rows(clusters, dist, links, self_share)
-    return rec.select("bin", "cluster", F.to_json("rec").alias("value"))
+    return rec.select(F.to_json(F.struct("bin", "cluster", "rec.*")).alias("value"))
 
 
 def cluster_report_json(clusters: DataFrame, dist: DataFrame, links: DataFrame,

@@ -35,7 +35,9 @@ def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     if not has_header:
         raise ValueError("CSV input must have a header row")
     raw = (spark.read.option("header", True).option("multiLine", True)
-           .option("escape", '"').option("mode", "FAILFAST").csv(path))
+           .option("escape", '"').option("mode", "FAILFAST")
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+           .csv(path))
     if schema is None:
         out = raw
     else:
@@ -85,8 +87,8 @@ def read_cluster_report(spark: SparkSession, path: str) -> DataFrame:
 
 def read_cluster_records(spark: SparkSession, path: str) -> DataFrame:
     """S8, line form: records written one per (bin, cluster)."""
-    return (spark.read.text(path)
-            .select(F.from_json("value", _RECORD).alias("r")).select("r.*"))
+    line = "struct<bin:bigint,cluster:bigint," + _RECORD[len("struct<"):]
+    return spark.read.text(path).select(F.from_json("value", line).alias("r")).select("r.*")
 
 
 def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
