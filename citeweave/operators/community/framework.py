@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeweave.session import cut_lineage
+from citeweave.session import cut_lineage, small_table
 
 EPS = 1e-12
 MAX_HALVINGS = 4
@@ -57,7 +57,7 @@ def dense_rank_ids(df: DataFrame, order_cols: list, name: str,
         offsets.append((pid, acc))
         acc += n
     spark = df.sparkSession
-    off = spark.createDataFrame(offsets or [(0, 0)], "_pid int, _off bigint")
+    off = small_table(spark, offsets or [(0, 0)], "_pid int, _off bigint")
     out = (ordered.join(F.broadcast(off), "_pid")
            .withColumn(name, F.col("_off") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
            .drop("_pid", "_mid", "_off"))
@@ -128,8 +128,8 @@ def local_moving(member: DataFrame, gains: Callable[[DataFrame], DataFrame],
         active = [b for b, h in halving.items() if h <= MAX_HALVINGS]
         if not active:
             break
-        state = spark.createDataFrame([(b, 2 ** halving[b]) for b in active],
-                                      "bin bigint, stride bigint")
+        state = small_table(spark, [(b, 2 ** halving[b]) for b in active],
+                            "bin bigint, stride bigint")
         g = gains(member)
         best = (g.groupBy("bin", "nid")
                 .agg(F.max(F.struct("gain", (-F.col("comm")).alias("nc"))).alias("b"),
@@ -176,7 +176,7 @@ def local_moving(member: DataFrame, gains: Callable[[DataFrame], DataFrame],
         if accept and not rejected:
             member = proposal.drop("moved")
         elif accept:
-            acc = spark.createDataFrame([(b,) for b in accept], "bin bigint")
+            acc = small_table(spark, [(b,) for b in accept], "bin bigint")
             newer = proposal.join(F.broadcast(acc), "bin", "left_semi").drop("moved")
             older = member.join(F.broadcast(acc), "bin", "left_anti")
             member = cut_lineage(newer.unionByName(older))

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.schema import DECADES, FIRST_DECADE, LAST_DECADE
+from citeweave.session import small_table
 
 
 def decade_col(year: str | Column) -> Column:
@@ -58,7 +59,7 @@ def bins_table(spark: SparkSession, bins: list[list[int]]) -> DataFrame:
                 raise ValueError(f"decade {d} appears in more than one bin")
             seen[d] = start
             rows.append((start, d))
-    return spark.createDataFrame(rows, "bin bigint, decade bigint")
+    return small_table(spark, rows, "bin bigint, decade bigint")
 
 
 def in_decade_hits(works: DataFrame, decades: list[int] = DECADES) -> DataFrame:

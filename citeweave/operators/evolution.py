@@ -24,8 +24,8 @@ def ordinal(values: DataFrame, column: str, name: str = "rank") -> DataFrame:
     if n <= MAX_SINGLE_TASK_RANK:
         return distinct.withColumn(name, (F.row_number().over(Window.orderBy(column)) - 1)
                                    .cast("bigint"))
-    ranked = distinct.orderBy(column).rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
-    return ranked.toDF([column, name])
+    from citeweave.operators.community.framework import dense_rank_ids
+    return dense_rank_ids(distinct, [column], name)
 
 
 def node_key(bin_col: str = "bin", cluster_col: str = "cluster"):

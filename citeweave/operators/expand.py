@@ -49,14 +49,21 @@ def fetch_by_ids(works: DataFrame, ids: DataFrame, select: list[str] | None = No
     return out.select(*select) if select else out
 
 
+def reference_pairs(works: DataFrame) -> DataFrame:
+    """(oa_id, ref) for every reference of every work."""
+    return works.select("oa_id", F.explode("referenced_works").alias("ref"))
+
+
 def citing_works(works: DataFrame, frontier: DataFrame, min_citations: int | None = 0,
-                 year_gt: int | None = None, frontier_rows: int | None = None) -> DataFrame:
+                 year_gt: int | None = None, frontier_rows: int | None = None,
+                 refs: DataFrame | None = None) -> DataFrame:
     """Works citing any id of ``frontier`` (column ``oa_id``), passing the
     thresholds; a work citing several frontier ids appears once.
 
     The frontier is broadcast only when its row count is known and small.
+    ``refs`` may pass a materialised ``reference_pairs(works)``.
     """
-    refs = works.select("oa_id", F.explode("referenced_works").alias("ref"))
+    refs = refs if refs is not None else reference_pairs(works)
     f = frontier.select(F.col("oa_id").alias("ref")).distinct()
     if frontier_rows is not None and frontier_rows <= BROADCAST_FRONTIER_ROWS:
         f = F.broadcast(f)
@@ -94,10 +101,12 @@ def expand(seed: DataFrame, works: DataFrame, hops: int = 1, min_citations: int
                        .withColumn("layer", F.lit(0).cast("bigint")))
     frontier = kept.select("oa_id")
     n_frontier = frontier.count()
+    refs = cut_lineage(reference_pairs(works)) if hops > 0 else None
     for hop in range(1, hops + 1):
         if n_frontier == 0:
             break
-        cands = citing_works(works, frontier, min_citations, year_gt, n_frontier)
+        cands = cut_lineage(citing_works(works, frontier, min_citations, year_gt, n_frontier,
+                                         refs))
         new = greedy_dedupe(cands, order_by, blocked_keys=key_table(kept))
         new = cut_lineage(new.withColumn("layer", F.lit(hop).cast("bigint")))
         kept = cut_lineage(kept.unionByName(new))

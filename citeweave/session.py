@@ -103,3 +103,28 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
     sc._citeweave_shipped = True
+
+
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small literal table as a JVM local relation (no Python worker reads
+    it); ``schema`` is a DDL string such as ``"bin bigint, stride bigint"``."""
+    from pyspark.sql import types as T
+    st = T._parse_datatype_string(schema)
+    names = [f.name for f in st.fields]
+    casts = ", ".join(f"CAST(`c{i}` AS {f.dataType.simpleString()}) AS `{f.name}`"
+                      for i, f in enumerate(st.fields))
+    if not rows:
+        return spark.createDataFrame([], st)
+    values = ", ".join("(" + ", ".join(_sql_literal(v) for v in r) + ")" for r in rows)
+    cols = ", ".join(f"c{i}" for i in range(len(names)))
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({cols})")
