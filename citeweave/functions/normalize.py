@@ -46,20 +46,26 @@ def normalize_title(x: str | Column) -> Column:
 
 
 def abstract_from_inverted_index(x: str | Column) -> Column:
-    """rebuild text from ``word -> [positions]``.
+    """F4 as one column expression (for use inside a single ``select``).
 
-    The text has max(position)+1 slots; unfilled slots are empty words (so
-    gaps leave runs of spaces), a later word wins a shared position, ends
-    are trimmed and an empty result is NULL.  Per record this is a sort of
-    (position, entry index, word) triples: O(n log n) in the text length.
-    """
+    ``with_abstract`` computes the same value in stages and is the faster
+    form on whole tables."""
     entries = F.map_entries(_c(x))
-    triples = F.flatten(F.transform(
+    ordered = F.array_sort(_triples(entries))
+    words = _last_per_slot(ordered)
+    return _join_slots(words)
+
+
+def _triples(entries: Column) -> Column:
+    """(position, entry index, word) for every position of every entry."""
+    return F.flatten(F.transform(
         entries,
         lambda e, k: F.transform(F.coalesce(e["value"], F.array().cast("array<int>")),
                                  lambda p: F.struct(p.alias("pos"), k.alias("k"),
                                                     e["key"].alias("w")))))
-    ordered = F.array_sort(triples)
+
+
+def _last_per_slot(ordered: Column) -> Column:
     # keep the last triple of every position (largest entry index wins): pair
     # each triple with its successor instead of indexing inside a lambda
     successor = F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0)))
@@ -68,7 +74,10 @@ def abstract_from_inverted_index(x: str | Column) -> Column:
                                                       (nx.isNull() | (nx["pos"] != t["pos"]))
                                                       .alias("keep"))),
                     lambda z: z["keep"])
-    words = F.transform(last, lambda z: z["t"])
+    return F.transform(last, lambda z: z["t"])
+
+
+def _join_slots(words: Column) -> Column:
     previous = F.concat(F.array(F.lit(-1)), F.transform(words, lambda t: t["pos"]))
     # a slot gap of g empty words before a word is g extra spaces
     pieces = F.zip_with(words, previous,
@@ -76,6 +85,24 @@ def abstract_from_inverted_index(x: str | Column) -> Column:
     return F.nullif(strip_ws(F.array_join(pieces, " ")), F.lit(""))
 
 
+def with_abstract(df: DataFrame, index_col: str = "abstract_inverted_index",
+                  out: str = "abstract") -> DataFrame:
+    """F4 on a DataFrame: rebuild text from ``word -> [positions]``.
+
+    The text has max(position)+1 slots; unfilled slots are empty words (so
+    gaps leave runs of spaces), a later word wins a shared position, ends
+    are trimmed and an empty result is NULL.  Per record this is one sort of
+    (position, entry index, word) triples, O(n log n) in the text length,
+    with no shuffle.  Each intermediate array is its own projection so it is
+    computed once (Catalyst does not merge projections that would repeat an
+    expensive expression).
+    """
+    return (df.withColumn("_ord", F.array_sort(_triples(F.map_entries(F.col(index_col)))))
+            .withColumn("_slots", _last_per_slot(F.col("_ord")))
+            .withColumn(out, _join_slots(F.col("_slots")))
+            .drop("_ord", "_slots"))
+
+
 def topic_fields(x: str | Column) -> list[Column]:
     """domain, field, subfield, topic from the nested primary topic."""
     pt = _c(x)
@@ -102,14 +129,14 @@ def normalize_works(raw: DataFrame) -> DataFrame:
                 "primary_topic"}
     extra = [c for c in raw.columns if c not in consumed and c not in
              ("publication_year", "cited_by_count", "domain", "field", "subfield", "topic",
-              "abstract", "oa_id")]
-    return raw.select(
+              "abstract", "oa_id", "_abstract")]
+    return with_abstract(raw, "abstract_inverted_index", "_abstract").select(
         oa_id("id").alias("oa_id"),
         normalize_doi("doi").alias("doi"),
         normalize_title("title").alias("title"),
         F.col("publication_year").cast("bigint").alias("publication_year"),
         F.col("cited_by_count").cast("bigint").alias("cited_by_count"),
-        abstract_from_inverted_index("abstract_inverted_index").alias("abstract"),
+        F.col("_abstract").alias("abstract"),
         normalize_references("referenced_works").alias("referenced_works"),
         *topic_fields("primary_topic"),
         *extra,
