@@ -510,3 +510,19 @@ WITH {WORKS}
 SELECT oa_id, nullif(doi, '') AS doi, nullif(title, '') AS title, publication_year,
        nullif(abstract, '') AS abstract, referenced_works, nullif(topic, '') AS topic
 FROM works"""
+
+ORACLE["decade_scan_sql"] = f"""
+WITH {WORKS}
+SELECT oa_id, publication_year, cited_by_count FROM works
+WHERE publication_year BETWEEN 1950 AND 1959 AND cited_by_count > 100"""
+
+
+def _fetch_sql() -> str:
+    seeds_cte = ORACLE["seed_search"].split("\nSELECT oa_id, doi, title, publication_year, cited_by_count FROM seeds")[0]
+    return f"""{seeds_cte},
+cited AS (SELECT DISTINCT unnest(referenced_works) AS oa_id FROM seeds)
+SELECT w.oa_id, w.doi, w.publication_year FROM works w
+WHERE w.oa_id IN (SELECT oa_id FROM cited) AND w.doi IS NOT NULL"""
+
+
+ORACLE["fetch_cited_by_seeds"] = _fetch_sql()

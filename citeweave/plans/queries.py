@@ -472,3 +472,25 @@ def cluster_report_document(spark, sf_dir):
     rep = _report(spark, sf_dir)[2]
     return sk.cluster_report_json(rep["clusters"], rep["distributions"], rep["links"],
                                   rep["self_share"])
+
+
+@register
+def decade_scan_sql(spark, sf_dir):
+    """S2 + S10: the works table staged as a view and scanned by SQL with
+    bound parameters (works of the 1950s with more than 100 citations)."""
+    from citeweave.sources.files import execute_sql, register_view
+    register_view(load_works(spark, sf_dir), "cw_works")
+    return execute_sql(spark, "SELECT oa_id, publication_year, cited_by_count FROM cw_works "
+                              "WHERE publication_year BETWEEN :lo AND :hi AND cited_by_count > :c",
+                       {"lo": 1950, "hi": 1959, "c": 100})
+
+
+@register
+def fetch_cited_by_seeds(spark, sf_dir):
+    """S7 + P8 + P10: records fetched by id (URL form) for every work the
+    seeds cite, keeping those with a DOI."""
+    works, seeds = _seeds(spark, sf_dir)
+    ids = (seeds.select(F.explode("referenced_works").alias("ref"))
+           .select(F.concat(F.lit("https://openalex.org/"), "ref").alias("oa_id")))
+    return (ex.fetch_by_ids(works, ids, ["oa_id", "doi", "publication_year"])
+            .where(ex.has_doi()))
