@@ -85,16 +85,34 @@ def build_seed(works: DataFrame, search_term: str, min_citations: int,
     return kept.select(*select) if select else kept
 
 
+def cited_works(works: DataFrame, frontier: DataFrame, min_citations: int | None = 0,
+                year_gt: int | None = None, frontier_rows: int | None = None,
+                refs: DataFrame | None = None) -> DataFrame:
+    """Works *cited by* any id of ``frontier``, passing the thresholds."""
+    refs = refs if refs is not None else reference_pairs(works)
+    f = frontier.select("oa_id").distinct()
+    if frontier_rows is not None and frontier_rows <= BROADCAST_FRONTIER_ROWS:
+        f = F.broadcast(f)
+    cited = refs.join(f, "oa_id", "left_semi").select(F.col("ref").alias("oa_id")).distinct()
+    return (works.where(above("cited_by_count", min_citations) &
+                        above("publication_year", year_gt))
+            .join(cited, "oa_id", "left_semi"))
+
+
 def expand(seed: DataFrame, works: DataFrame, hops: int = 1, min_citations: int = 20,
-           year_gt: int = 1920, order_by: list[str] | None = None) -> DataFrame:
+           year_gt: int = 1920, order_by: list[str] | None = None,
+           direction: str = "citing") -> DataFrame:
     """K-hop expansion along citing links; returns kept works with ``layer``.
 
     Seeds are layer 0 (deduplicated, not re-filtered).  Hop h collects the
     works citing the frontier that pass the thresholds, rejects those
     sharing a key with any work kept so far, dedupes the rest and tags them
     layer h.  The next frontier is what hop h kept; the loop stops early
-    when it is empty.  Works *cited by* the frontier are not collected.
+    when it is empty.  By default works *cited by* the frontier are not
+    collected; ``direction="both"`` adds them to each hop's candidates.
     """
+    if direction not in ("citing", "both"):
+        raise ValueError("direction must be 'citing' or 'both'")
     order_by = order_by or ["oa_id"]
     cols = works.columns
     kept = cut_lineage(greedy_dedupe(seed.select(*cols), order_by)
@@ -105,8 +123,11 @@ def expand(seed: DataFrame, works: DataFrame, hops: int = 1, min_citations: int
     for hop in range(1, hops + 1):
         if n_frontier == 0:
             break
-        cands = cut_lineage(citing_works(works, frontier, min_citations, year_gt, n_frontier,
-                                         refs))
+        cands = citing_works(works, frontier, min_citations, year_gt, n_frontier, refs)
+        if direction == "both":
+            cands = cands.unionByName(cited_works(works, frontier, min_citations, year_gt,
+                                                  n_frontier, refs)).distinct()
+        cands = cut_lineage(cands)
         new = greedy_dedupe(cands, order_by, blocked_keys=key_table(kept))
         new = cut_lineage(new.withColumn("layer", F.lit(hop).cast("bigint")))
         kept = cut_lineage(kept.unionByName(new))

@@ -29,3 +29,11 @@ def test_seed_and_hops(spark):
     one = {r.oa_id for r in ex.expand(seeds, works, hops=1, min_citations=10, year_gt=1925)
            .collect()}
     assert one == {r.oa_id for r in rows if r.layer <= 1}
+
+
+def test_both_directions_superset(spark):
+    works = load_works(spark, SF_SMALL).drop("layer")
+    seeds = ex.build_seed(works, "the", 20, 1930)
+    citing = {r.oa_id for r in ex.expand(seeds, works, hops=1).collect()}
+    both = {r.oa_id for r in ex.expand(seeds, works, hops=1, direction="both").collect()}
+    assert citing <= both
