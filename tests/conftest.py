@@ -14,7 +14,8 @@ SF_MID = "/root/testdata/sf0.01"
 def spark():
     from citeweave.session import get_spark
     s = get_spark("local[8]", 8, app_name="citeweave-tests",
-                  extra={"spark.driver.memory": "8g"})
+                  extra={"spark.driver.memory": "8g",
+                         "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="citeweave-wh-")})
     # tests run in local mode: an unset checkpoint folder gets a scratch one
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="citeweave-test-ckpt-"))
