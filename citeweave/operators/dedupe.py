@@ -22,7 +22,7 @@ partial aggregation before the shuffle; state is checkpointed each round.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions.normalize import normalize_doi, normalize_title
@@ -79,22 +79,25 @@ def greedy_dedupe(works: DataFrame, order_by: list[str],
 
     undecided = cut_lineage(exploded.join(conflicted, "_seq", "left_semi"))
     kept_parts = [free]
+    per_work = Window.partitionBy("_seq")   # at most one row per key kind
     for _ in range(MAX_ROUNDS):
         if undecided.isEmpty():
             break
         first = undecided.groupBy("kind", "value").agg(F.min("_seq").alias("_first"))
-        marked = undecided.join(first, ["kind", "value"])
-        winners = (marked.groupBy("_seq")
-                   .agg(F.bool_and(F.col("_seq") == F.col("_first")).alias("_win"))
-                   .where("_win").select("_seq"))
-        winners = cut_lineage(winners)
-        claimed = (marked.where(F.col("_seq") == F.col("_first"))
-                   .join(winners, "_seq", "left_semi").select("kind", "value"))
-        losers = (undecided.join(claimed, ["kind", "value"], "left_semi")
-                  .select("_seq").distinct().join(winners, "_seq", "left_anti"))
-        undecided = cut_lineage(undecided.join(winners, "_seq", "left_anti")
-                                .join(losers, "_seq", "left_anti"))
-        kept_parts.append(winners)
+        marked = (undecided.join(first, ["kind", "value"])
+                  .withColumn("_win", F.bool_and(F.col("_seq") == F.col("_first")).over(per_work)))
+        claimed = (marked.where(F.col("_win") & (F.col("_seq") == F.col("_first")))
+                   .select("kind", "value", F.lit(True).alias("_claimed")))
+        # one table per round: every key row with its work's fate
+        state = cut_lineage(
+            marked.join(claimed, ["kind", "value"], "left")
+            .withColumn("_lost", F.bool_or(F.coalesce("_claimed", F.lit(False))).over(per_work))
+            .select("_seq", "kind", "value",
+                    F.when(F.col("_win"), F.lit("kept"))
+                     .when(F.col("_lost"), F.lit("lost"))
+                     .otherwise(F.lit("open")).alias("_state")))
+        kept_parts.append(state.where(F.col("_state") == "kept").select("_seq").distinct())
+        undecided = state.where(F.col("_state") == "open").drop("_state")
     else:
         raise RuntimeError("dedupe did not converge")
 

@@ -71,3 +71,26 @@ def test_report_round_trip(spark):
     sk.cluster_records(clusters, dist, links, share).write.mode("overwrite").text(path + "/lines")
     lines = {(r.bin, r.cluster): r for r in fs.read_cluster_records(spark, path + "/lines").collect()}
     assert lines[(1950, 1)].elements == 7
+
+
+def test_network_round_trip(spark):
+    nodes = spark.createDataFrame([(1950, "A", "t", "f", "d", 0), (1950, "B", "", "", "", -1)],
+                                  "bin bigint, id string, topic string, field string, "
+                                  "domain string, cluster bigint")
+    edges = spark.createDataFrame([(1950, "A", "B"), (1950, "A", "B"), (1950, "B", "C")],
+                                  "bin bigint, src string, dst string")
+    path = tempfile.mkdtemp(prefix="cw-net-")
+    sk.write_network(nodes, edges, path)
+    n, e = fs.read_network(spark, path)
+    got = {r.id: r.cluster for r in n.collect()}
+    assert got == {"A": 0, "B": -1, "C": None}       # endpoint C gets no attributes
+    assert sorted((r.src, r.dst) for r in e.collect()) == [("A", "B"), ("B", "C")]
+
+
+def test_corpus_round_trip(spark):
+    from citeweave.operators.phrases import read_corpus, write_corpus
+    corpus = spark.createDataFrame([("a", ["x", "y_z"]), ("b", []), ("c", ["w"])],
+                                   "oa_id string, tokens array<string>")
+    path = tempfile.mkdtemp(prefix="cw-corpus-") + "/c"
+    write_corpus(corpus, path)
+    assert sorted(r.tokens for r in read_corpus(spark, path).collect()) == [["w"], ["x", "y_z"]]
