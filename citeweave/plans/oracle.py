@@ -77,7 +77,7 @@ FROM works WHERE layer = 0"""
 RAW = """
 raw AS (
   SELECT doc_id,
-         'https://openalex.org/W' || CAST(doc_id AS VARCHAR) AS id,
+         'https://works.example.org/W' || CAST(doc_id AS VARCHAR) AS id,
          CASE WHEN doc_id % 10 = 3 THEN NULL WHEN doc_id % 10 = 7 THEN '   '
               ELSE '  HTTPS://DOI.ORG/10.1000/' || upper(source) || '.'
                    || CAST(n_chars % 997 AS VARCHAR) || ' ' END AS doi,
@@ -88,7 +88,7 @@ raw AS (
            list_transform(
              list_filter([doc_id - 1, doc_id - 2, CASE WHEN doc_id % 7 = 0 THEN doc_id - 105 END,
                           doc_id - 37, doc_id + 10000000], lambda x: x >= 0),
-             lambda x: 'https://openalex.org/W' || CAST(x AS VARCHAR)),
+             lambda x: 'https://works.example.org/W' || CAST(x AS VARCHAR)),
            CASE WHEN doc_id % 11 = 0 THEN [''] ELSE []::VARCHAR[] END) AS referenced_works,
          CASE WHEN doc_id % 17 = 0 THEN NULL ELSE lang END AS "domain",
          CASE WHEN doc_id % 17 = 0 THEN NULL ELSE source END AS field,

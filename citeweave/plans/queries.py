@@ -491,6 +491,6 @@ def fetch_cited_by_seeds(spark, sf_dir):
     seeds cite, keeping those with a DOI."""
     works, seeds = _seeds(spark, sf_dir)
     ids = (seeds.select(F.explode("referenced_works").alias("ref"))
-           .select(F.concat(F.lit("https://openalex.org/"), "ref").alias("oa_id")))
+           .select(F.concat(F.lit("https://works.example.org/"), "ref").alias("oa_id")))
     return (ex.fetch_by_ids(works, ids, ["oa_id", "doi", "publication_year"])
             .where(ex.has_doi()))

@@ -88,7 +88,7 @@ def raw_works_from_documents(documents: DataFrame) -> DataFrame:
     )
     base = documents.select(
         "doc_id",
-        F.concat(F.lit("https://openalex.org/W"), d.cast("string")).alias("id"),
+        F.concat(F.lit("https://works.example.org/W"), d.cast("string")).alias("id"),
         F.when(d % 10 == 3, F.lit(None))
          .when(d % 10 == 7, F.lit("   "))
          .otherwise(F.concat(F.lit("  HTTPS://DOI.ORG/10.1000/"), F.upper("source"), F.lit("."),
@@ -99,7 +99,7 @@ def raw_works_from_documents(documents: DataFrame) -> DataFrame:
         (F.col("n_chars") % 200).cast("bigint").alias("cited_by_count"),
         F.concat(
             F.transform(_reference_ids(d),
-                        lambda x: F.concat(F.lit("https://openalex.org/W"), x.cast("string"))),
+                        lambda x: F.concat(F.lit("https://works.example.org/W"), x.cast("string"))),
             F.when(d % 11 == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")),
         ).alias("referenced_works"),
         F.when(d % 17 == 0, F.lit(None)).otherwise(topic).alias("primary_topic"),

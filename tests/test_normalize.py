@@ -48,7 +48,7 @@ def test_inverted_index_random(spark):
 
 def test_scalars(spark):
     df = spark.createDataFrame(
-        [("https://openalex.org/W12", "  HTTPS://DOI.ORG/10.1/X  ", "  Hello \n  World  "),
+        [("https://works.example.org/W12", "  HTTPS://DOI.ORG/10.1/X  ", "  Hello \n  World  "),
          ("W5", "   ", "   "), (None, None, ""), ("a/b/", "x", None)],
         "id string, doi string, title string")
     got = df.select(nz.oa_id("id").alias("i"), nz.normalize_doi("doi").alias("d"),
@@ -63,7 +63,7 @@ def test_scalars(spark):
 
 def test_references_and_topic(spark):
     df = spark.createDataFrame(
-        [(["https://openalex.org/W1", "", None, "W2"], None),
+        [(["https://works.example.org/W1", "", None, "W2"], None),
          (None, {"display_name": "T", "domain": None, "field": {"display_name": "F"},
                  "subfield": None})],
         "refs array<string>, pt struct<display_name:string,domain:struct<display_name:string>,"

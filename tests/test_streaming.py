@@ -16,16 +16,16 @@ def test_ingest_appends_new_ids_once(spark):
     out = os.path.join(tempfile.mkdtemp(prefix="cw-out-"), "works")
     ckpt = tempfile.mkdtemp(prefix="cw-ckpt-")
     _dump(os.path.join(src, "p1.json"), [
-        {"id": "https://openalex.org/W1", "title": " A  Title ", "doi": " X ",
-         "referenced_works": ["https://openalex.org/W2", ""],
+        {"id": "https://works.example.org/W1", "title": " A  Title ", "doi": " X ",
+         "referenced_works": ["https://works.example.org/W2", ""],
          "abstract_inverted_index": {"hello": [0], "world": [1]}},
-        {"id": "https://openalex.org/W2", "title": "B"},
-        {"id": "https://openalex.org/W1", "title": "duplicate later in page"},
+        {"id": "https://works.example.org/W2", "title": "B"},
+        {"id": "https://works.example.org/W1", "title": "duplicate later in page"},
     ])
     ingest_raw_works(spark, src, out, ckpt).awaitTermination()
     _dump(os.path.join(src, "p2.json"), [
-        {"id": "https://openalex.org/W2", "title": "again"},
-        {"id": "https://openalex.org/W3", "title": "C"},
+        {"id": "https://works.example.org/W2", "title": "again"},
+        {"id": "https://works.example.org/W3", "title": "C"},
     ])
     ingest_raw_works(spark, src, out, ckpt).awaitTermination()
     rows = {r.oa_id: r for r in spark.read.parquet(out).collect()}
