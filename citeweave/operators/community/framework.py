@@ -81,8 +81,14 @@ def index_nodes(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ids, cut_lineage(e)
 
 
-def singletons(nodes: DataFrame) -> DataFrame:
-    return nodes.select("bin", "nid", F.col("nid").alias("comm"))
+def singletons(nodes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every node in its own community; ``keep`` node columns ride along
+    (e.g. degrees), so later rounds need not join them back."""
+    return nodes.select("bin", "nid", F.col("nid").alias("comm"), *keep)
+
+
+def _extras(member: DataFrame) -> list[str]:
+    return [c for c in member.columns if c not in ("bin", "nid", "comm")]
 
 
 def neighbour_links(edges: DataFrame, member: DataFrame) -> DataFrame:
@@ -102,7 +108,7 @@ def neighbour_links(edges: DataFrame, member: DataFrame) -> DataFrame:
 def with_own(links: DataFrame, member: DataFrame) -> DataFrame:
     """Candidate rows: every neighbouring community plus the node's own one,
     tagged with ``own`` (the node's current community)."""
-    own = member.select("bin", "nid", F.col("comm").alias("own"))
+    own = member.select("bin", "nid", F.col("comm").alias("own"), *_extras(member))
     stay = member.select("bin", "nid", "comm", F.lit(0.0).alias("wo"), F.lit(0.0).alias("wi"))
     cand = (links.union(stay).groupBy("bin", "nid", "comm")
             .agg(F.sum("wo").alias("wo"), F.sum("wi").alias("wi")))
@@ -116,9 +122,11 @@ def local_moving(member: DataFrame, gains: Callable[[DataFrame], DataFrame],
 
     ``gains(member)`` yields (bin, nid, comm, own, gain) with gain 0 for
     staying; ``objective(member)`` yields (bin, obj), higher is better.
+    Extra columns of ``member`` (node attributes) are carried unchanged.
     """
     spark = member.sparkSession
-    member = cut_lineage(member.select("bin", "nid", "comm"))
+    member = cut_lineage(member)
+    extras = _extras(member)
     obj = {r["bin"]: r["obj"] for r in objective(member).collect()}
     halving = {b: 0 for b in obj}
     nomove: dict = {}
@@ -145,7 +153,7 @@ def local_moving(member: DataFrame, gains: Callable[[DataFrame], DataFrame],
                   .select("bin", "nid", (-F.col("b.nc")).alias("new")))
         proposal = cut_lineage(
             member.join(movers, ["bin", "nid"], "left")
-            .select("bin", "nid", F.coalesce("new", "comm").alias("comm"),
+            .select("bin", "nid", F.coalesce("new", "comm").alias("comm"), *extras,
                     F.col("new").isNotNull().alias("moved")))
         _t1 = _time.time()
         n_moved = proposal.groupBy("bin").agg(F.count_if("moved").alias("n"))
