@@ -152,3 +152,19 @@ def decades_in_range(works: DataFrame) -> DataFrame:
     """Works restricted to the covered decades, with a decade column."""
     return (works.where(F.col("publication_year").between(FIRST_DECADE, LAST_DECADE + 9))
             .withColumn("decade", decade_col("publication_year")))
+
+
+def write_works_by_decade(works: DataFrame, path: str) -> None:
+    """Store the works table partitioned by decade (NULL-year works land in
+    the NULL partition), so decade scans read only their own folder."""
+    (works.withColumn("decade", decade_col("publication_year"))
+     .write.mode("overwrite").partitionBy("decade").parquet(path))
+
+
+def scan_decade(spark: SparkSession, path: str, decade_start: int,
+                additional_fields: list[str] | None = None) -> DataFrame:
+    """S1 on a decade-partitioned works table: the decade predicate prunes
+    partitions and the year range is pushed into the Parquet scan."""
+    d = check_decade(decade_start)
+    works = spark.read.parquet(path).where(F.col("decade") == d)
+    return fetch_per_decade_data(works, d, additional_fields)

@@ -526,3 +526,5 @@ WHERE w.oa_id IN (SELECT oa_id FROM cited) AND w.doi IS NOT NULL"""
 
 
 ORACLE["fetch_cited_by_seeds"] = _fetch_sql()
+
+ORACLE["decade_scan_partitioned"] = ORACLE["decade_scan"]

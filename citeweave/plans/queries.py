@@ -494,3 +494,15 @@ def fetch_cited_by_seeds(spark, sf_dir):
            .select(F.concat(F.lit("https://works.example.org/"), "ref").alias("oa_id")))
     return (ex.fetch_by_ids(works, ids, ["oa_id", "doi", "publication_year"])
             .where(ex.has_doi()))
+
+
+@register
+def decade_scan_partitioned(spark, sf_dir):
+    """S1 with partition pruning: works with their in-decade references
+    stored partitioned by decade, then the 1970s scanned back."""
+    import uuid
+
+    from citeweave.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/works-{uuid.uuid4().hex}"
+    dec.write_works_by_decade(dec.with_in_decade_references(load_works(spark, sf_dir)), path)
+    return dec.scan_decade(spark, path, 1970, ["publication_year", "referenced_works"])
