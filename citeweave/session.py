@@ -85,12 +85,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``citeweave`` importable in Python workers (for the few Arrow
-    UDFs): zip the package once per context and add it with ``addPyFile``."""
+    UDFs).  In local mode the package is zipped once per context and added
+    with ``addPyFile``; on a cluster it is deployed with the job
+    (``spark-submit --py-files citeweave.zip`` or installed on the
+    executors), so nothing is written to a machine-local folder."""
     import zipfile
 
     sc = spark.sparkContext
     if getattr(sc, "_citeweave_shipped", False):
         return
+    if not sc.master.startswith("local"):
+        sc._citeweave_shipped = True
+        return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
     fd, path = tempfile.mkstemp(prefix="citeweave-", suffix=".zip")
