@@ -506,3 +506,18 @@ def decade_scan_partitioned(spark, sf_dir):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/works-{uuid.uuid4().hex}"
     dec.write_works_by_decade(dec.with_in_decade_references(load_works(spark, sf_dir)), path)
     return dec.scan_decade(spark, path, 1970, ["publication_year", "referenced_works"])
+
+
+@register
+def nearest_words(spark, sf_dir):
+    """M4 + M5/T4: word vectors trained on the trigram-phrased corpus, then
+    the 20 nearest words (cosine) of its four most frequent phrase tokens;
+    a query word missing from the vocabulary is reported with no neighbour."""
+    from citeweave.session import cut_lineage
+    corpus, _ = ph.phrase_corpus(_tokens(spark, sf_dir), passes=2)
+    vectors = cut_lineage(vx.word_vectors(vx.train_word2vec(corpus)))
+    phrase_tokens = (corpus.select(F.explode("tokens").alias("word"))
+                     .where(F.col("word").contains("_")))
+    top = gr.top_values(phrase_tokens, "word", 4).select(F.col("value").alias("word"))
+    queries = top.unionByName(spark.sql("SELECT 'vector_space' AS word"))
+    return vx.nearest_words(vectors, queries, k=vx.TOP_K)
