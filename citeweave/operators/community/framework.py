@@ -15,11 +15,11 @@ no node wants to move.  Membership is checkpointed every round.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from citeweave.session import cut_lineage, small_table
 
@@ -130,9 +130,8 @@ def local_moving(member: DataFrame, gains: Callable[[DataFrame], DataFrame],
     obj = {r["bin"]: r["obj"] for r in objective(member).collect()}
     halving = {b: 0 for b in obj}
     nomove: dict = {}
-    import time as _time
     for rnd in range(MAX_ROUNDS):
-        _t0 = _time.time()
+        started = time.time()
         active = [b for b, h in halving.items() if h <= MAX_HALVINGS]
         if not active:
             break
@@ -155,12 +154,12 @@ def local_moving(member: DataFrame, gains: Callable[[DataFrame], DataFrame],
             member.join(movers, ["bin", "nid"], "left")
             .select("bin", "nid", F.coalesce("new", "comm").alias("comm"), *extras,
                     F.col("new").isNotNull().alias("moved")))
-        _t1 = _time.time()
+        proposed = time.time()
         n_moved = proposal.groupBy("bin").agg(F.count_if("moved").alias("n"))
         stats = objective(proposal.drop("moved")).join(n_moved, "bin", "left").collect()
         moved = {r["bin"]: r["n"] or 0 for r in stats}
         new_obj = {r["bin"]: r["obj"] for r in stats}
-        _t2 = _time.time()
+        scored = time.time()
         accept, rejected = [], []
         for b in active:
             if moved.get(b, 0) == 0:
@@ -180,7 +179,7 @@ def local_moving(member: DataFrame, gains: Callable[[DataFrame], DataFrame],
         if VERBOSE:
             print(f"round {rnd} active={len(active)} accepted={len(accept)} "
                   f"moved={sum(moved.values())} obj={sum(obj.values()):.6f} "
-                  f"t_prop={_t1 - _t0:.1f} t_stats={_t2 - _t1:.1f}", flush=True)
+                  f"t_prop={proposed - started:.1f} t_stats={scored - proposed:.1f}", flush=True)
         if accept and not rejected:
             member = proposal.drop("moved")
         elif accept:
