@@ -20,6 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@register
+def op2_sharding(spark, sf_dir):
+    """All documents in 8 shards of near equal bytes, by a map of 4,096 slots."""
+    from citeweave.llm.sharding import shard_documents
+    placed = shard_documents(table(spark, sf_dir, "documents"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+@register
+def op4_document_fingerprints(spark, sf_dir):
+    """Winnowed fingerprints of all documents and of their edited texts."""
+    from citeweave.llm.winnowing import fingerprint_documents
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 @register
 def op5_minhash_near_dedup(spark, sf_dir):
     """Near-duplicate groups of all documents on 4-word shingles."""
