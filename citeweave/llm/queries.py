@@ -29,6 +29,16 @@ def op2_sharding(spark, sf_dir):
                          F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+@register
+def op3_tokeniser_fertility(spark, sf_dir):
+    """Base counts and tokeniser-fertility verdict of all documents."""
+    from citeweave.llm.fertility import quality_rules
+    q = quality_rules(table(spark, sf_dir, "documents"))
+    return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                    "base_failed", "kept", "n_tokens", "n_byte_tokens", "chars_per_token", "byte_share",
+                    "token_entropy")
+
+
 @register
 def op4_document_fingerprints(spark, sf_dir):
     """Winnowed fingerprints of all documents and of their edited texts."""

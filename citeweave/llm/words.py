@@ -38,6 +38,16 @@ def _base_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span ``values[start:end]`` of small integers."""
+    n = len(values)
+    up, down = _base_powers(n + 1)
+    prefix = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
+    return mix((prefix[end] - prefix[start]) * down[start]
+               + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts end to end, and the n+1 offsets of the texts.
     A null text has no bytes."""
@@ -92,21 +102,12 @@ class Words:
         self.start = np.flatnonzero(starts)
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self.hash = self._hashes()
+        self.hash = span_hash(self.data, self.start, self.end)
 
     @classmethod
     def of(cls, column: pa.Array, lower: bool = True) -> "Words":
         return cls(*text_bytes(column), lower=lower)
 
-    def _hashes(self) -> np.ndarray:
-        n = len(self.data)
-        up, down = _base_powers(n + 1)
-        prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
-        size = (self.end - self.start).astype(np.uint64)
-        return mix((prefix[self.end] - prefix[self.start]) * down[self.start]
-                   + size * np.uint64(0xD6E8FEB86659FD93))
-
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of ``k`` words of each text, in order, and their
         n+1 offsets; a text of 1 to k-1 words has its whole sequence as one."""
