@@ -53,6 +53,24 @@ def op5_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+@register
+def op6_sentencepiece(spark, sf_dir):
+    """Piece ids of all documents, decoded again and compared with the text."""
+    from citeweave.llm.sentencepiece_fst import decode, encode
+    coded = decode(encode(table(spark, sf_dir, "documents")))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                        F.crc32("decoded").alias("decoded_crc32"),
+                        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+@register
+def op9_lm_scoring(spark, sf_dir):
+    """Base and PPM log10 probability of all documents, learnt from those whose
+    crc32(doc_id) mod 7 is not 2."""
+    from citeweave.llm.ppm import score_documents
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 @register
 def op10_mixing(spark, sf_dir):
     """Mix of all documents to source weights 3, 1, 2 at 150% of all words."""

@@ -86,11 +86,12 @@ class Words:
     ``first[d]:first[d + 1]``; ``hash`` depends on the word's bytes alone.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True,
+                 space: np.ndarray = SPACE):
         self.data = LOWER[data] if lower else data
         self.offsets = offsets
         n = len(data)
-        inside = ~SPACE[self.data]
+        inside = ~space[self.data]
         starts, ends = inside.copy(), inside.copy()
         if n:
             starts[1:] &= ~inside[:-1]
