@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@register
+def op1_substring_dedup(spark, sf_dir):
+    """Passages of 50 words or more that documents share with one of smaller id."""
+    from citeweave.llm.substring_dedup import duplicate_passages
+    return duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 @register
 def op2_sharding(spark, sf_dir):
     """All documents in 8 shards of near equal bytes, by a map of 4,096 slots."""

@@ -101,8 +101,8 @@ def _bucket(edges: list[int]) -> Column:
 
 
 def with_next(documents: DataFrame, rows_per_bucket: int = 256) -> DataFrame:
-    """doc_id, text, print and the next row's ``next_text`` and ``next_hashes``,
-    in order of (doc_id, text); the first row follows the last.
+    """doc_id, text and the next row's ``next_text``, in order of (doc_id, text);
+    the first row follows the last.
 
     Rows are cut into ranges of doc_id at approximate quantiles (at most 10,000
     edges) and a window runs inside each range, after one shuffle of the texts.
@@ -119,21 +119,16 @@ def with_next(documents: DataFrame, rows_per_bucket: int = 256) -> DataFrame:
     docs = docs.withColumn("bucket", _bucket(edges).cast("int"))
     heads = cut_lineage(docs.groupBy("bucket").agg(
         F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "text")).alias("m"))
-        .select("bucket", F.col("m.text").alias("head_text"),
-                fingerprint(F.col("m.text"))["hashes"].alias("head_hashes")))
+        .select("bucket", F.col("m.text").alias("head_text")))
     numbers = [r["bucket"] for r in heads.select("bucket").orderBy("bucket").collect()]
     after = small_table(docs.sparkSession, list(zip(numbers, numbers[1:] + numbers[:1])),
                         "own int, bucket int")
     follow = heads.join(F.broadcast(after), "bucket").drop("bucket").withColumnRenamed("own", "bucket")
     w = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    rows = (docs.withColumn("print", fingerprint(F.col("text")))
-            .withColumn("next", F.lead(F.struct("text", F.col("print.hashes").alias("hashes"))).over(w)))
+    rows = docs.withColumn("next", F.lead("text").over(w))
     # rows already lie by bucket: the join moves only one row per range
-    edge = F.col("next").isNull()
     return (rows.join(follow, "bucket", "left")
-            .withColumns({"next_text": F.when(edge, F.col("head_text")).otherwise(F.col("next.text")),
-                          "next_hashes": F.when(edge, F.col("head_hashes")).otherwise(F.col("next.hashes"))})
-            .select("doc_id", "text", "print", "next_text", "next_hashes"))
+            .select("doc_id", "text", F.coalesce("next", "head_text").alias("next_text")))
 
 
 def fingerprint_documents(documents: DataFrame) -> DataFrame:
@@ -149,7 +144,9 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     edited = (rows.withColumn("n_chars", n.cast("long"))
               .withColumn("edited", F.concat(F.substring("text", F.lit(1), n - quarter),
                                              F.substring("next_text", F.lit(1), quarter)))
-              .withColumn("edited_hashes", fingerprint(F.col("edited"))["hashes"]))
+              .withColumn("print", fingerprint(F.col("text")))
+              .withColumn("edited_hashes", fingerprint(F.col("edited"))["hashes"])
+              .withColumn("next_hashes", fingerprint(F.col("next_text"))["hashes"]))
     own = F.col("print.hashes")
     return edited.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
