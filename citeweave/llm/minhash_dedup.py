@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.llm.components import components
+from citeweave.llm.frames import fresh
 from citeweave.llm.words import Words, slices
 from citeweave.session import cut_lineage, ship_package
 
@@ -58,11 +59,11 @@ def _sketcher(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             for part, sets in _sets(batch, k):
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"),
+                    [part.column("doc_id"), part.column("text_md5"),
                      pa.array([len(s) for s in sets], pa.int64()),
                      pa.array(digests, pa.binary()),
                      pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "digest", "sketch"])
+                    names=["doc_id", "text_md5", "n_shingles", "digest", "sketch"])
     return run
 
 
@@ -148,7 +149,7 @@ class _Verifier:
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``documents``.
+    """doc_id, text_md5, n_shingles, component_id, kept: one row per row of ``documents``.
 
     Two documents are linked when 100 * intersection >= ``percent`` * union of
     their shingle sets (ASCII case folded); component_id is the smallest doc_id
@@ -157,8 +158,9 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     if percent < 80:
         raise ValueError("sketch sizes are laid out for a likeness of 0.8 or more")
     ship_package(documents.sparkSession)
-    rows = cut_lineage(documents.select("doc_id", "text").mapInArrow(
-        _sketcher(shingle), "doc_id long, n_shingles long, digest binary, sketch array<long>"))
+    rows = cut_lineage(documents.select("doc_id", "text", F.md5("text").alias("text_md5")).mapInArrow(
+        _sketcher(shingle),
+        "doc_id long, text_md5 string, n_shingles long, digest binary, sketch array<long>"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sketch"))
     # a class without any doc_id gets a node number below all usual ids
     spare = F.lit(-(1 << 62)).cast("long") - F.shiftrightunsigned(F.xxhash64("digest"), 3)
@@ -200,12 +202,25 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     lowest = member.groupBy("root").agg(F.min("min_doc").alias("component_id"))
     group = cut_lineage(member.join(lowest, "root").select("digest", "component_id"))
     # classes' group ids; a hot digest is hot on the rows' side only
-    out = rows.select("doc_id", "n_shingles", "digest").join(group, "digest", "left")
+    out = rows.drop("sketch").join(group, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
+    return out.select("doc_id", "text_md5", "n_shingles", component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def one_of_each(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``documents`` with one document of each group, that of smallest doc_id; rows
+    that repeat a kept document's doc_id and text go as well."""
+    columns = documents.columns
+    kept_id, kept_md5, md5 = (fresh(n, columns) for n in ("_kept_id", "_kept_md5", "_md5"))
+    kept = (near_duplicates(documents, shingle, percent).where("kept")
+            .select(F.col("doc_id").alias(kept_id), F.col("text_md5").alias(kept_md5)).distinct())
+    # repeated rows are combined before they are shuffled
+    rows = documents.withColumn(md5, F.md5("text")).dropDuplicates(["doc_id", md5])
+    same = rows["doc_id"].eqNullSafe(kept[kept_id]) & rows[md5].eqNullSafe(kept[kept_md5])
+    return rows.join(kept, same, "left_semi").drop(md5)
+
+
 def _unsettled(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components inside the long lists (step 5)."""
     hot = F.col("c") > COLD

@@ -25,6 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeweave.llm.frames import fresh, quoted
 from citeweave.operators.community.framework import dense_rank_ids
 from citeweave.session import cut_lineage
 
@@ -140,3 +141,21 @@ def mix(documents: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share:
             .select("doc_id", "text_md5", "source", "size", "source_size", "target",
                     (F.col("whole") + F.when(F.col("more") > 0, 1).otherwise(0)).cast("long").alias("copies"),
                     (F.col("whole") * F.col("size") + F.col("more")).alias("taken")))
+
+
+def mixed(documents: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5,
+          cap: float = 2.0) -> DataFrame:
+    """The mix itself: each row of ``documents`` as often as it is taken (a partly
+    taken row once)."""
+    columns = documents.columns
+    md5, times, at = (fresh(n, columns) for n in ("_md5", "_times", "_at"))
+    own = {"doc_id": fresh("_mix_id", columns), "source": fresh("_mix_source", columns),
+           "text_md5": fresh("_mix_md5", columns), "copies": times}
+    taken = (mix(documents, weights, share, cap).where("copies > 0")
+             .select(*own).distinct().withColumnsRenamed(own))
+    rows = documents.withColumn(md5, F.md5("text"))
+    same = (rows["doc_id"].eqNullSafe(taken[own["doc_id"]]) & rows[md5].eqNullSafe(taken[own["text_md5"]])
+            & rows["source"].eqNullSafe(taken[own["source"]]))
+    return (rows.join(taken, same)
+            .withColumn(at, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+            .select(*map(quoted, columns)))

@@ -57,7 +57,8 @@ def op4_document_fingerprints(spark, sf_dir):
 def op5_minhash_near_dedup(spark, sf_dir):
     """Near-duplicate groups of all documents on 4-word shingles."""
     from citeweave.llm.minhash_dedup import near_duplicates
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @register
@@ -70,6 +71,21 @@ def op6_sentencepiece(spark, sf_dir):
                         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+@register
+def op7_toxicity(spark, sf_dir):
+    """Category probabilities of all documents by a classifier chain."""
+    from citeweave.llm.toxicity import THRESHOLD, toxicity
+    p = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return p.withColumn("toxic", F.col("p_toxic") >= THRESHOLD)
+
+
+@register
+def op8_quality_classifier(spark, sf_dir):
+    """Expected grade, tail probabilities and selection of all documents."""
+    from citeweave.llm.ordinal import quality, rated
+    return quality(table(spark, sf_dir, "documents"), rated(table(spark, sf_dir, "labels")))
+
+
 @register
 def op9_lm_scoring(spark, sf_dir):
     """Base and PPM log10 probability of all documents, learnt from those whose

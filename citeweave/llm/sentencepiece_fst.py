@@ -28,7 +28,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
+from citeweave.llm.frames import quoted, schema_with
 from citeweave.llm.words import HashIndex, ranges, slices, span_hash, text_bytes
 from citeweave.session import ship_package
 
@@ -317,8 +319,10 @@ def _model(df: DataFrame, path: str):
 
 def encode(documents: DataFrame, model_path: str = f"{TOKENIZERS}/piece_bpe_32k.model",
            keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """Columns ``keep`` and ``ids`` (array<int>) of every row."""
+    """Columns ``keep`` and ``ids`` (array<int>) of every row; a column of that
+    name among ``keep`` is replaced."""
     model = _model(documents, model_path)
+    keep = tuple(c for c in keep if c.lower() != "ids")
 
     def run(batches):
         t = load(model.value)
@@ -330,13 +334,14 @@ def encode(documents: DataFrame, model_path: str = f"{TOKENIZERS}/piece_bpe_32k.
                                                  mask=text.is_null() if text.null_count else None)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], coded],
                                                  names=[*keep, "ids"])
-    df = documents.select(*dict.fromkeys((*keep, "text")))
-    kinds = dict(df.dtypes)
-    return df.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", ids array<int>")
+    df = documents.select(*map(quoted, dict.fromkeys((*keep, "text"))))
+    return df.mapInArrow(run, schema_with(df, keep, ids=T.ArrayType(T.IntegerType())))
 
 
 def decode(coded: DataFrame, model_path: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
-    """All columns of ``coded`` and ``decoded``, the text of ``ids``."""
+    """All columns of ``coded`` and ``decoded``, the text of ``ids``; a column of
+    that name is replaced."""
+    coded = coded.drop("decoded")
     model = _model(coded, model_path)
 
     def run(batches):
@@ -359,4 +364,4 @@ def decode(coded: DataFrame, model_path: str = f"{TOKENIZERS}/piece_bpe_32k.mode
                     text = pa.array([None if n else x for n, x in
                                      zip(ids.is_null().to_pylist(), text.to_pylist())], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, "decoded"])
-    return coded.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in coded.dtypes) + ", decoded string")
+    return coded.mapInArrow(run, schema_with(coded, coded.columns, decoded=T.StringType()))
