@@ -1,7 +1,7 @@
 """Hashed text features, and linear models on them fitted in numpy.
 
 A text's features are the presence of its words (ASCII case folded, punctuation
-cut off) in ``WORD_SLOTS`` hashed slots, and the shares of its raw words by their
+cut off) and of their first ``STEM`` bytes in ``WORD_SLOTS`` hashed slots, and the shares of its raw words by their
 edges (a capital or digit at the start, the last two bytes) in ``EDGE_SLOTS`` slots.
 """
 
@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeweave.llm.frames import quoted, schema_with
-from citeweave.llm.words import LOWER, Words, mix, slices, text_bytes
+from citeweave.llm.words import LOWER, Words, mix, slices, span_hash, text_bytes
 from citeweave.session import ship_package
 
 WORD_SLOTS = 1 << 18
 EDGE_SLOTS = 1 << 12
 SLOTS = WORD_SLOTS + EDGE_SLOTS
 EDGE_SCALE = 8.0
+STEM = 5
 
 _NOT_ALNUM = np.ones(256, dtype=bool)
 _NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -36,7 +37,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     words = Words(data, offsets, lower=True, space=_NOT_ALNUM)
     slot = (words.hash >> np.uint64(64 - 18)).astype(np.int64)
     doc = np.repeat(np.arange(n_docs), np.diff(words.first))
-    present = np.unique(doc * SLOTS + slot)
+    long = np.flatnonzero(words.end - words.start > STEM)
+    stem = mix(span_hash(words.data, words.start[long], words.start[long] + STEM)) >> np.uint64(64 - 18)
+    present = np.unique(np.concatenate([doc * SLOTS + slot, doc[long] * SLOTS + stem.astype(np.int64)]))
     raw = Words(data, offsets, lower=False)
     n_words = np.diff(raw.first)
     doc = np.repeat(np.arange(n_docs), n_words)
@@ -55,16 +58,20 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Rows:
-    """A sparse matrix by rows, on the slots that ``least`` rows or more have."""
+    """A sparse matrix by rows."""
 
     def __init__(self, offsets: np.ndarray, slots: np.ndarray, values: np.ndarray):
         self.offsets, self.slots, self.values = offsets, slots, values
         self.n = len(offsets) - 1
         self.row = np.repeat(np.arange(self.n), np.diff(offsets))
 
-    def without_rare(self, least: int) -> "Rows":
+    def related(self, target: np.ndarray, least_z: float = 4.0, least_rows: int = 4) -> "Rows":
+        """The slots whose sum with the centred target is ``least_z`` standard
+        deviations or more from 0; other slots tell noise from noise."""
         seen = np.bincount(self.slots, minlength=SLOTS)
-        keep = seen[self.slots] >= least
+        spread = np.bincount(self.slots, weights=self.values ** 2, minlength=SLOTS) * target.var()
+        ok = (seen >= least_rows) & (np.abs(self.back(target - target.mean())) >= least_z * np.sqrt(spread))
+        keep = ok[self.slots]
         offs = np.concatenate([[0], np.cumsum(np.bincount(self.row[keep], minlength=self.n))])
         return Rows(offs, self.slots[keep], self.values[keep])
 

@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 
 from citeweave.llm.hashed_text import SLOTS, Rows, descend, labelled_sample, scored, sigmoid
 
-SAMPLE = 8_000
-LEAST = 4
-RIDGE = 1e-3
+SAMPLE = 12_000
+RIDGE = 1e-4
 SELECT_GRADE = 1
 SELECT_TAIL = 0.5
 
@@ -39,7 +38,7 @@ class Ordinal:
         n = len(grade)
         if not n:
             return cls(np.zeros(SLOTS), np.full(top, 40.0))
-        x = x.without_rare(LEAST)
+        x = x.related(grade)
         grade = grade.astype(np.int64)
 
         def bounds(w):
@@ -57,7 +56,7 @@ class Ordinal:
                                     - np.bincount(grade, weights=db, minlength=top + 1)[:-1]])
             steps = np.cumsum(slope[::-1])[::-1].copy()  # a step moves all thresholds above
             steps[1:] *= np.exp(np.clip(w[SLOTS + 1:], -20, 20))
-            return np.concatenate([x.back(db - da) + RIDGE * w[:SLOTS] / 10, steps])
+            return np.concatenate([x.back(db - da) + RIDGE * w[:SLOTS], steps])
         tails = np.array([np.mean(grade >= j) for j in range(1, top + 1)]).clip(1e-3, 1 - 1e-3)
         first = -np.log(tails / (1 - tails))
         first = np.maximum.accumulate(first + 1e-3 * np.arange(top))

@@ -21,10 +21,9 @@ from pyspark.sql import DataFrame
 
 from citeweave.llm.hashed_text import SLOTS, Rows, descend, labelled_sample, scored, sigmoid
 
-SAMPLE = 8_000
+SAMPLE = 12_000
 FOLDS = 3
-LEAST = 4          # rows that must have a slot
-RIDGE = 1e-3
+RIDGE = 1e-4
 CHAIN = ("low_quality", "toxic")
 THRESHOLD = 0.5
 
@@ -40,12 +39,12 @@ class Linear:
         k = before.shape[1]
         if not len(y) or y.min() == y.max():  # nothing to tell apart
             return cls(np.zeros(SLOTS), np.zeros(k), -40.0 if not len(y) or y[0] == 0 else 40.0)
-        n = len(y)
+        n, x = len(y), x.related(y)
 
         def gradient(w):
             error = (sigmoid(x.dot(w[:SLOTS]) + before @ w[SLOTS:-1] + w[-1]) - y) / n
             g = np.concatenate([x.back(error), before.T @ error, [error.sum()]])
-            g[:-1] += RIDGE * w[:-1] / 10
+            g[:-1] += RIDGE * w[:-1]
             return g
         start = np.zeros(SLOTS + k + 1)
         start[-1] = np.log(y.mean() / (1 - y.mean()))
@@ -59,7 +58,6 @@ class Linear:
 def fit_chain(x: Rows, labels: np.ndarray, folds: int = FOLDS) -> tuple[list[Linear], np.ndarray]:
     """The chain's models and the out-of-fold probabilities, one column per
     category.  Row i is in fold i mod ``folds``."""
-    x = x.without_rare(LEAST)
     n, k = labels.shape
     fold, out, models = np.arange(n) % folds, np.zeros((n, k)), []
     for c in range(k):
