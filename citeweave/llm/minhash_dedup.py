@@ -3,19 +3,23 @@
 1. Each text's set of word-shingle hashes gives a digest and a sketch, its
    ``SKETCH`` smallest hashes.  Equal sets form one class; from here on a class
    is one node, so exact copies cost nothing more.
-2. Every two neighbours of a sketch are a key.  Two sets of likeness 0.8 that
-   both fit their sketches must share a key (the shared elements of their union
-   fall into runs, one of them of two at least); for larger sets the
-   chance that none of the ~31 neighbour pairs is shared is under 1e-9.
+2. Every two neighbours among the first ``KEYED`` values of a sketch are a key.
+   Two sets of likeness 0.8 that fit into these values must share a key (the shared
+   elements of their union fall into runs, one of them of two at least); for
+   larger sets the chance that none of the 31 pairs is shared is under 1e-9.
 3. Inverted lists of the keys.  A list of up to ``COLD`` nodes gives all its
-   pairs (a bounded number); a longer one ties each node to the list's smallest
-   node, so a large group of near copies gives one pair per node and list.
+   pairs (a bounded number); a longer one ties each node to the node of the list
+   whose own lists are longest together: in a group of near copies, the text
+   they were made from.
 4. Pairs are filtered by the estimate on the union of the two sketches
    (a pair of likeness 0.8 falls below it with odds under 1e-6) and the rest is
    confirmed on the full sets.  Confirmed links give components.
-5. Lists over ``COLD`` that still hold several components are taken again:
-   every node outside the list's largest component meets the whole list.
-   Only nodes with more than a quarter of their keys in such lists do so: the
+5. Long lists that still hold several components are gone through again, tying
+   each node outside the list's largest component to another node inside it, as long
+   as that links a fair part of them.  The nodes still apart meet each other
+   through keys of ``RUN`` neighbours of the whole sketch, which sets of likeness 0.8
+   share with odds of 1 - 1e-6 (sets under 25 elements: two neighbours, always).
+   Only nodes with more than a quarter of their keys in long lists take part: the
    others share, with any partner of likeness 0.8, keys of short lists.
 
 Rows: null or word-free text has an empty set and is linked with nothing.
@@ -39,11 +43,13 @@ from citeweave.llm.frames import fresh
 from citeweave.llm.words import Words, slices
 from citeweave.session import cut_lineage, ship_package
 
-SKETCH = 32
+SKETCH = 64
+KEYED = 32
 COLD = 16
 HOT_SHARE = 0.25
-# Binomial(32, 0.8) is 13 or less with odds under 1e-6
-LEAST_SHARED = 14
+RUN = 4
+# Binomial(64, 0.8) is 34 or less with odds under 1e-6
+LEAST_SHARED = 35
 
 
 def _sets(batch: pa.RecordBatch, k: int, column: str = "text"):
@@ -174,29 +180,44 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
                           .withColumn("node", F.when(F.col("again"), spare).otherwise(F.col("own")))
                           .drop("own", "again"))
 
-    neighbours = F.transform(F.sequence(F.lit(0), F.size("sketch") - 2),
-                             lambda i: F.xxhash64(F.get("sketch", i), F.get("sketch", i + 1)))
-    keys = classes.where("n_shingles > 3").select("node", "n_shingles", F.explode(neighbours).alias("key"))
-    counts = (keys.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("first"))
-              .where("c > 1"))
-    lists = cut_lineage(keys.join(counts, "key"))
-    cold = lists.where(F.col("c") <= COLD)
-    left = cold.select("key", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"))
-    right = cold.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"))
-    near = ((F.col("a") < F.col("b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent)
-            & (F.col("n_b") * 100 >= F.col("n_a") * percent))
-    short = left.join(right, "key").where(near).select("a", "b")
-    star = (lists.where((F.col("c") > COLD) & (F.col("node") != F.col("first")))
-            .select(F.col("first").alias("a"), F.col("node").alias("b")))
+    keys = _keys(classes.where("n_shingles > 3"), 2, KEYED)
+    counts = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    lists = keys.join(counts, "key")
+    # the node that lies in the longest lists stands nearest to the rest of its group
+    lists = cut_lineage(lists)
+    lists = cut_lineage(lists.join(lists.groupBy("node").agg(F.sum("c").alias("heat")), "node"))
+    centre = (lists.where(F.col("c") > COLD).groupBy("key")
+              .agg(F.max(F.struct("heat", "node")).alias("m")).select("key", F.col("m.node").alias("first")))
+    short = _pairs(lists.where(F.col("c") <= COLD), percent)
+    star = (lists.where(F.col("c") > COLD).join(centre, "key").where("node <> first")
+            .select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")))
     verifier = _Verifier(documents, classes, shingle, percent)
     links = cut_lineage(verifier.links(short.unionByName(star).distinct()))
     roots = cut_lineage(components(links))
 
-    again = _unsettled(lists, roots, percent)
-    if not again.isEmpty():
-        more = cut_lineage(verifier.links(again))
-        if not more.isEmpty():
-            roots = cut_lineage(components(links.unionByName(more)))
+    mostly = _mostly_hot(lists)
+    salt = 0
+    while True:
+        salt += 1
+        open_ = _open(lists, mostly, roots)
+        apart = open_.where("root <> main")
+        n_open = apart.select("node").distinct().count()
+        if not n_open:
+            break
+        rank = F.struct(F.xxhash64("node", F.pmod("key", F.lit(2)), F.lit(salt)), F.col("node").alias("node"))
+        inner = open_.where("root = main").groupBy("key").agg(F.min(rank).alias("m"))
+        star = (apart.join(inner.select("key", F.col("m.node").alias("first")), "key")
+                .select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct())
+        more = cut_lineage(verifier.links(star))
+        n_more = more.count()
+        if n_more:
+            links = cut_lineage(links.unionByName(more))
+            roots = cut_lineage(components(links))
+        if 20 * n_more < n_open:
+            more = cut_lineage(verifier.links(_last_pairs(classes, mostly, roots, percent)))
+            if not more.isEmpty():
+                roots = cut_lineage(components(links.unionByName(more)))
+            break
 
     member = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = member.groupBy("root").agg(F.min("min_doc").alias("component_id"))
@@ -221,23 +242,61 @@ def one_of_each(documents: DataFrame, shingle: int = 5, percent: int = 80) -> Da
     return rows.join(kept, same, "left_semi").drop(md5)
 
 
-def _unsettled(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components inside the long lists (step 5)."""
-    hot = F.col("c") > COLD
-    # a node has min(SKETCH, n) - 1 keys
-    mostly = (lists.groupBy("node", "n_shingles").agg(F.count_if(hot).alias("h"))
-              .where(F.col("h") > HOT_SHARE * (F.least(F.lit(SKETCH), F.col("n_shingles")) - 1))
-              .select("node"))
-    rows = (lists.where(hot).join(mostly, "node", "left_semi").join(roots, "node", "left")
+def _keys(nodes: DataFrame, run: int, width: int) -> DataFrame:
+    """(node, n_shingles, key): hashes of every ``run`` neighbours among the first
+    ``width`` values of each sketch."""
+    ends = F.least(F.size("sketch"), F.lit(width)) - run
+    runs = F.transform(F.sequence(F.lit(0), ends),
+                       lambda i: F.xxhash64(*[F.get("sketch", i + j) for j in range(run)]))
+    return (nodes.where(F.size("sketch") >= run)
+            .select("node", "n_shingles", F.explode(runs).alias("key")))
+
+
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a < b) of nodes of one key whose set sizes allow a link."""
+    left = rows.select("key", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"))
+    right = rows.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"))
+    fits = ((F.col("a") < F.col("b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent)
+            & (F.col("n_b") * 100 >= F.col("n_a") * percent))
+    return left.join(right, "key").where(fits).select("a", "b").distinct()
+
+
+def _mostly_hot(lists: DataFrame) -> DataFrame:
+    """Nodes with more than HOT_SHARE of their keys in long lists."""
+    n_keys = F.least(F.lit(KEYED), F.col("n_shingles")) - 1
+    return cut_lineage(lists.groupBy("node", "n_shingles").agg(F.count_if(F.col("c") > COLD).alias("h"))
+                       .where(F.col("h") > HOT_SHARE * n_keys).select("node"))
+
+
+def _open(lists: DataFrame, mostly: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the long lists that hold several components, with each row's
+    component ``root`` and the list's largest one ``main``."""
+    rows = (lists.where(F.col("c") > COLD).join(mostly, "node", "left_semi").join(roots, "node", "left")
             .select("key", "node", "n_shingles", F.coalesce("root", "node").alias("root")))
     parts = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
-    largest = (parts.groupBy("key").agg(F.count("*").alias("n_parts"), F.max(F.struct("c", "root")).alias("m"))
-               .where("n_parts > 1").select("key", F.col("m.root").alias("main")))
-    open_ = cut_lineage(rows.join(largest, "key"))
-    a = open_.where("root <> main").select("key", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"),
-                                           F.col("root").alias("root_a"))
-    b = open_.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"),
-                     F.col("root").alias("root_b"))
+    main = (parts.groupBy("key").agg(F.count("*").alias("n_parts"), F.max(F.struct("c", "root")).alias("m"))
+            .where("n_parts > 1").select("key", F.col("m.root").alias("main")))
+    return cut_lineage(rows.join(main, "key"))
+
+
+def _last_pairs(classes: DataFrame, mostly: DataFrame, roots: DataFrame,
+                percent: int) -> DataFrame:
+    """Pairs of different components among the nodes of long lists, by longer keys."""
+    nodes = classes.join(mostly, "node", "left_semi")
+    keys = (_keys(nodes.where("n_shingles >= 20"), RUN, SKETCH)
+            .unionByName(_keys(nodes.where("n_shingles < 25 AND n_shingles > 3"), 2, SKETCH))
+            .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    # a list of one component has nothing left to find
+    parts = (keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+             .where("low < high").select("key"))
+    rows = cut_lineage(keys.join(parts, "key", "left_semi"))
+    counted = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
+    main = counted.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
+    rows = rows.join(main, "key")
+    # every node outside the largest component meets the whole list
+    a = rows.where("root <> main").select("key", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"),
+                                          F.col("root").alias("root_a"))
+    b = rows.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("root").alias("root_b"))
     fits = ((F.col("root_a") != F.col("root_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent)
             & (F.col("n_b") * 100 >= F.col("n_a") * percent))
     return cut_lineage(a.join(b, "key").where(fits)
