@@ -12,18 +12,11 @@ from pyspark.sql import functions as F
 
 from citeweave.schema import LAYOUT_Y_SPACING, PALETTE_SLOTS
 
-# Sorted-distinct value sets up to this size are ranked in one task; larger
-# ones are ranked by a distributed sort and partition offsets.
-MAX_SINGLE_TASK_RANK = 100_000
-
 
 def ordinal(values: DataFrame, column: str, name: str = "rank") -> DataFrame:
-    """0-based position of each distinct ``column`` value in sorted order."""
+    """0-based position of each distinct ``column`` value in sorted order, by a
+    distributed sort and partition offsets."""
     distinct = values.select(column).where(F.col(column).isNotNull()).distinct()
-    n = distinct.count()
-    if n <= MAX_SINGLE_TASK_RANK:
-        return distinct.withColumn(name, (F.row_number().over(Window.orderBy(column)) - 1)
-                                   .cast("bigint"))
     from citeweave.operators.community.framework import dense_rank_ids
     return dense_rank_ids(distinct, [column], name)
 
@@ -53,8 +46,7 @@ def layout(clusters: DataFrame, dom: DataFrame, ranks: DataFrame) -> DataFrame:
     n_fields = ranks.count()
     nodes = (clusters.join(dom.select("bin", "cluster", "dominant_field"),
                            ["bin", "cluster"], "left")
-             .join(F.broadcast(ranks.withColumnRenamed("field", "dominant_field")),
-                   "dominant_field", "left")
+             .join(ranks.withColumnRenamed("field", "dominant_field"), "dominant_field", "left")
              .withColumn("sort_rank", F.coalesce(F.col("field_rank"), F.lit(n_fields + 1))))
     w = Window.partitionBy("bin").orderBy("sort_rank", F.desc("elements"), "cluster")
     return nodes.select(

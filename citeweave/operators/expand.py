@@ -15,11 +15,6 @@ from pyspark.sql import functions as F
 from citeweave.operators.dedupe import greedy_dedupe, key_table
 from citeweave.session import cut_lineage
 
-# frontier sizes up to this many ids are broadcast to the semi join; larger
-# frontiers take a shuffled join
-BROADCAST_FRONTIER_ROWS = 2_000_000
-
-
 def phrase_match(phrase: str, title: str = "title", abstract: str = "abstract") -> Column:
     """Case-insensitive containment of a phrase in title or abstract."""
     p = F.lit(phrase.lower())
@@ -55,18 +50,15 @@ def reference_pairs(works: DataFrame) -> DataFrame:
 
 
 def citing_works(works: DataFrame, frontier: DataFrame, min_citations: int | None = 0,
-                 year_gt: int | None = None, frontier_rows: int | None = None,
-                 refs: DataFrame | None = None) -> DataFrame:
+                 year_gt: int | None = None, refs: DataFrame | None = None) -> DataFrame:
     """Works citing any id of ``frontier`` (column ``oa_id``), passing the
     thresholds; a work citing several frontier ids appears once.
 
-    The frontier is broadcast only when its row count is known and small.
+    Whether the frontier is broadcast is left to its measured size (AQE).
     ``refs`` may pass a materialised ``reference_pairs(works)``.
     """
     refs = refs if refs is not None else reference_pairs(works)
     f = frontier.select(F.col("oa_id").alias("ref")).distinct()
-    if frontier_rows is not None and frontier_rows <= BROADCAST_FRONTIER_ROWS:
-        f = F.broadcast(f)
     citing = refs.join(f, "ref", "left_semi").select("oa_id").distinct()
     return (works.where(above("cited_by_count", min_citations) &
                         above("publication_year", year_gt))
@@ -86,13 +78,10 @@ def build_seed(works: DataFrame, search_term: str, min_citations: int,
 
 
 def cited_works(works: DataFrame, frontier: DataFrame, min_citations: int | None = 0,
-                year_gt: int | None = None, frontier_rows: int | None = None,
-                refs: DataFrame | None = None) -> DataFrame:
+                year_gt: int | None = None, refs: DataFrame | None = None) -> DataFrame:
     """Works *cited by* any id of ``frontier``, passing the thresholds."""
     refs = refs if refs is not None else reference_pairs(works)
     f = frontier.select("oa_id").distinct()
-    if frontier_rows is not None and frontier_rows <= BROADCAST_FRONTIER_ROWS:
-        f = F.broadcast(f)
     cited = refs.join(f, "oa_id", "left_semi").select(F.col("ref").alias("oa_id")).distinct()
     return (works.where(above("cited_by_count", min_citations) &
                         above("publication_year", year_gt))
@@ -123,10 +112,10 @@ def expand(seed: DataFrame, works: DataFrame, hops: int = 1, min_citations: int
     for hop in range(1, hops + 1):
         if n_frontier == 0:
             break
-        cands = citing_works(works, frontier, min_citations, year_gt, n_frontier, refs)
+        cands = citing_works(works, frontier, min_citations, year_gt, refs)
         if direction == "both":
             cands = cands.unionByName(cited_works(works, frontier, min_citations, year_gt,
-                                                  n_frontier, refs)).distinct()
+                                                  refs)).distinct()
         cands = cut_lineage(cands)
         new = greedy_dedupe(cands, order_by, blocked_keys=key_table(kept))
         new = cut_lineage(new.withColumn("layer", F.lit(hop).cast("bigint")))

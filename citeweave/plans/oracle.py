@@ -11,7 +11,7 @@ works AS (
   SELECT 'W' || CAST(doc_id AS VARCHAR) AS oa_id,
          CASE WHEN doc_id % 10 = 3 THEN NULL
               ELSE '10.1000/' || lower(source) || '.' || CAST(n_chars % 997 AS VARCHAR) END AS doi,
-         substr(text, 1, 80) AS title,
+         split_part(text, chr(10), 1) AS title,
          CAST(1920 + doc_id % 105 AS BIGINT) AS publication_year,
          CAST(n_chars % 200 AS BIGINT) AS cited_by_count,
          text AS abstract,
@@ -81,7 +81,7 @@ raw AS (
          CASE WHEN doc_id % 10 = 3 THEN NULL WHEN doc_id % 10 = 7 THEN '   '
               ELSE '  HTTPS://DOI.ORG/10.1000/' || upper(source) || '.'
                    || CAST(n_chars % 997 AS VARCHAR) || ' ' END AS doi,
-         CASE WHEN doc_id % 13 = 0 THEN NULL ELSE substr(text, 1, 80) END AS title,
+         CASE WHEN doc_id % 13 = 0 THEN NULL ELSE split_part(text, chr(10), 1) END AS title,
          CAST(1920 + doc_id % 105 AS BIGINT) AS publication_year,
          CAST(n_chars % 200 AS BIGINT) AS cited_by_count,
          list_concat(

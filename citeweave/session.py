@@ -43,6 +43,11 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def _one_machine(sc) -> bool:
+    """Local mode proper; ``local-cluster`` has executors of its own."""
+    return sc.master.split("[")[0] == "local"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, reading ``spark.checkpoint.dir`` first.
 
@@ -58,7 +63,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
-    if not sc.master.startswith("local"):
+    if not _one_machine(sc):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; iterative operators need a shared "
             "checkpoint folder on a cluster")
@@ -94,7 +99,7 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_citeweave_shipped", False):
         return
-    if not sc.master.startswith("local"):
+    if not _one_machine(sc):
         sc._citeweave_shipped = True
         return
     pkg = os.path.dirname(os.path.abspath(__file__))

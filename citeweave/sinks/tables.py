@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from citeweave.schema import SQL_TYPES
 
 PK_PROPERTY = "citeweave.primary_key"
+JSON_PROPERTY = "citeweave.json_columns"
 
 # SQL type names used when printing a table definition.
 _DDL_NAMES = {
@@ -40,19 +41,31 @@ def create_table(spark: SparkSession, name: str, fields: dict[str, str],
     declared = [c for c, t in fields.items() if re.search(r"PRIMARY\s+KEY", t, re.I)]
     keys = declared or ([pk] if isinstance(pk, str) else list(pk or []))
     cols = ", ".join(f"`{c}` {_spark_type(t).simpleString()}" for c, t in fields.items())
-    props = f" TBLPROPERTIES ('{PK_PROPERTY}' = '{','.join(keys)}')" if keys else ""
+    json = [c for c, t in fields.items() if t.strip().upper().startswith("JSON")]
+    held = {PK_PROPERTY: keys, JSON_PROPERTY: json}
+    held = ", ".join(f"'{k}' = '{','.join(v)}'" for k, v in held.items() if v)
+    props = f" TBLPROPERTIES ({held})" if held else ""
     loc = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet{loc}{props}")
 
 
-def primary_key(spark: SparkSession, name: str) -> list[str]:
+def _column_property(spark: SparkSession, name: str, key: str) -> list[str]:
     rows = spark.sql(f"SHOW TBLPROPERTIES {name}").collect()
     for r in rows:
-        if r["key"] == PK_PROPERTY:
+        if r["key"] == key:
             return [k for k in r["value"].split(",") if k]
     return []
 
 
+def primary_key(spark: SparkSession, name: str) -> list[str]:
+    return _column_property(spark, name, PK_PROPERTY)
+
+
+def json_columns(spark: SparkSession, name: str) -> list[str]:
+    """Columns declared JSON or JSONB, stored as JSON text."""
+    return _column_property(spark, name, JSON_PROPERTY)
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Key values held by more than one row, or NULL keys (empty when the key holds)."""
     nulls = df.where(F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1
@@ -67,9 +80,11 @@ def assert_unique(df: DataFrame, keys: list[str]) -> None:
         raise ValueError(f"primary key {keys} violated")
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+def conform(df: DataFrame, schema: T.StructType, json: list[str] | None = None) -> DataFrame:
     """Columns in table order; missing ones NULL; NULL arrays become []; a
-    scalar given for an array column becomes a one-element array (K2, K4)."""
+    scalar given for an array column becomes a one-element array; in a JSON
+    column nested values become JSON text, text stays as it is and other scalars
+    become ``{"value": x}`` (K2, K4)."""
     cols = []
     for f in schema.fields:
         if f.name in df.columns:
@@ -77,6 +92,11 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
             src = df.schema[f.name].dataType
             if isinstance(f.dataType, T.ArrayType) and not isinstance(src, T.ArrayType):
                 c = F.when(c.isNull(), F.lit(None)).otherwise(F.array(c.cast(f.dataType.elementType)))
+            if f.name in (json or []):
+                if isinstance(src, (T.ArrayType, T.MapType, T.StructType)):
+                    c = F.to_json(c)
+                elif not isinstance(src, T.StringType):
+                    c = F.when(c.isNotNull(), as_json_value(f.name))
             c = c.cast(f.dataType)
         else:
             c = F.lit(None).cast(f.dataType)
@@ -92,9 +112,16 @@ def as_json_value(col: str) -> F.Column:
 
 
 def upload(spark: SparkSession, name: str, df: DataFrame) -> None:
-    """K2: append rows in the table's column order (empty input: no-op)."""
+    """K2: append rows in the table's column order (empty input: no-op).  A NULL
+    key, or one that the batch or the table has already, raises."""
     table = spark.table(name)
-    conform(df, table.schema).write.insertInto(name)
+    rows = conform(df, table.schema, json_columns(spark, name))
+    pk = primary_key(spark, name)
+    if pk:
+        assert_unique(rows, pk)
+        if not rows.select(*pk).join(table.select(*pk), pk, "left_semi").isEmpty():
+            raise ValueError(f"primary key {pk} violated: the table has a key of the batch")
+    rows.write.insertInto(name)
 
 
 def new_rows_only(target: DataFrame, batch: DataFrame, pk: list[str],
@@ -135,12 +162,14 @@ def drop_table(spark: SparkSession, name: str, cascade: bool = False) -> None:
 
 def list_tables(spark: SparkSession) -> list[str]:
     """K9: table names in name order."""
-    return sorted(t.name for t in spark.catalog.listTables())
+    return sorted(t.name for t in spark.catalog.listTables() if not t.isTemporary)
 
 
 def describe_table(spark: SparkSession, name: str) -> DataFrame:
     """(column_name, data_type, is_nullable) rows."""
-    rows = [(f.name, f.dataType.simpleString(), f.nullable) for f in spark.table(name).schema]
+    pk = primary_key(spark, name)
+    rows = [(f.name, f.dataType.simpleString(), f.nullable and f.name not in pk)
+            for f in spark.table(name).schema]
     return spark.createDataFrame(rows, "column_name string, data_type string, is_nullable boolean")
 
 

@@ -48,7 +48,7 @@ def works_from_documents(documents: DataFrame) -> DataFrame:
     return documents.select(
         F.concat(F.lit("W"), d.cast("string")).alias("oa_id"),
         _doi(d, F.col("source"), F.col("n_chars")).alias("doi"),
-        F.substring("text", 1, 80).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         (F.lit(1920) + d % 105).cast("bigint").alias("publication_year"),
         (F.col("n_chars") % 200).cast("bigint").alias("cited_by_count"),
         F.col("text").alias("abstract"),
@@ -94,7 +94,7 @@ def raw_works_from_documents(documents: DataFrame) -> DataFrame:
          .otherwise(F.concat(F.lit("  HTTPS://DOI.ORG/10.1000/"), F.upper("source"), F.lit("."),
                              (F.col("n_chars") % 997).cast("string"), F.lit(" ")))
          .alias("doi"),
-        F.when(d % 13 == 0, F.lit(None)).otherwise(F.substring("text", 1, 80)).alias("title"),
+        F.when(d % 13 == 0, F.lit(None)).otherwise(F.substring_index("text", "\n", 1)).alias("title"),
         (F.lit(1920) + d % 105).cast("bigint").alias("publication_year"),
         (F.col("n_chars") % 200).cast("bigint").alias("cited_by_count"),
         F.concat(
@@ -118,7 +118,7 @@ def planted_membership(works: DataFrame, bins: list[list[int]]) -> DataFrame:
     """
     from citeweave.operators.decades import bins_table, decade_col
     b = bins_table(works.sparkSession, bins)
-    doc = F.substring("oa_id", 2, 20).cast("bigint")
+    doc = F.expr("substring(oa_id, 2)").cast("bigint")
     w = works.select("oa_id", decade_col("publication_year").alias("decade"), doc.alias("doc"))
     return (w.join(F.broadcast(b), "decade")
             .select("bin", "oa_id",

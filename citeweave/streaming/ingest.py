@@ -13,6 +13,9 @@ checkpoint folder.
 
 from __future__ import annotations
 
+from hashlib import sha256
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,7 +29,9 @@ from citeweave.sinks.tables import new_rows_only
 def _stored_ids(spark: SparkSession, table_path: str, epoch: int) -> DataFrame:
     try:
         stored = spark.read.parquet(table_path)
-    except Exception:  # noqa: BLE001 - nothing stored yet
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
         return spark.createDataFrame([], "oa_id string")
     return stored.where(F.col("_epoch") != epoch).select("oa_id")
 
@@ -34,7 +39,7 @@ def _stored_ids(spark: SparkSession, table_path: str, epoch: int) -> DataFrame:
 def ingest_raw_works(spark: SparkSession, source_dir: str, table_path: str,
                      checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
     """Start the stream; returns the running query."""
-    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-{abs(hash(table_path))}"
+    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-{sha256(table_path.encode()).hexdigest()}"
     raw = spark.readStream.schema(RAW_WORK).json(source_dir)
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
