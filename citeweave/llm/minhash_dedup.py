@@ -15,8 +15,8 @@
    (a pair of likeness 0.8 falls below it with odds under 1e-6) and the rest is
    confirmed on the full sets.  Confirmed links give components.
 5. Long lists that still hold several components are gone through again, tying
-   each node outside the list's largest component to another node inside it, as long
-   as that links a fair part of them.  The nodes still apart meet each other
+   each node outside the list's largest component to about eight nodes inside it, as
+   long as that links a quarter of them.  The nodes still apart meet each other
    through keys of ``RUN`` neighbours of the whole sketch, which sets of likeness 0.8
    share with odds of 1 - 1e-6 (sets under 25 elements: two neighbours, always).
    Only nodes with more than a quarter of their keys in long lists take part: the
@@ -204,7 +204,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
         n_open = apart.select("node").distinct().count()
         if not n_open:
             break
-        rank = F.struct(F.xxhash64("node", F.pmod("key", F.lit(2)), F.lit(salt)), F.col("node").alias("node"))
+        rank = F.struct(F.xxhash64("node", F.pmod("key", F.lit(8)), F.lit(salt)), F.col("node").alias("node"))
         inner = open_.where("root = main").groupBy("key").agg(F.min(rank).alias("m"))
         star = (apart.join(inner.select("key", F.col("m.node").alias("first")), "key")
                 .select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct())
@@ -213,7 +213,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
         if n_more:
             links = cut_lineage(links.unionByName(more))
             roots = cut_lineage(components(links))
-        if 20 * n_more < n_open:
+        if 4 * n_more < n_open:
             more = cut_lineage(verifier.links(_last_pairs(classes, mostly, roots, percent)))
             if not more.isEmpty():
                 roots = cut_lineage(components(links.unionByName(more)))
