@@ -85,7 +85,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/citeweave-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    table._citeweave_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``cut_lineage`` wrote and that no later plan reads."""
+    for t in tables:
+        path = t.__dict__.pop("_citeweave_path", None)
+        if path:
+            spark = t.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ship_package(spark: SparkSession) -> None:
