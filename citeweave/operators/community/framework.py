@@ -9,23 +9,27 @@ with the best objective gain (a max over a struct, so a hub's candidates are
 combined map-side instead of landing in one task).  Only a hashed subset of
 nodes moves per round, which breaks symmetric swaps; the round is kept per
 bin only if the exact objective improves, otherwise that bin retries with
-half as many movers, and stops after ``MAX_HALVINGS`` failed halvings or when
-no node wants to move.  Membership is checkpointed every round.
+half as many movers.  After ``MAX_HALVINGS`` halvings it goes on with moves of
+which no two touch the same community (the best of both its communities each;
+modularity gains of such moves add up exactly), and where these fail together,
+with its single best move, whose gain is exact.  A bin ends when no node wants
+to move; every kept round raises the objective, so it does end.  Membership is
+checkpointed every round, and the table of the round before deleted.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.session import cut_lineage, small_table
+from citeweave.session import cut_lineage, release, small_table
 
 EPS = 1e-12
 MAX_HALVINGS = 4
-MAX_ROUNDS = 400
 VERBOSE = False
 
 
@@ -130,26 +134,32 @@ def local_moving(member: DataFrame, gains: Callable[[DataFrame], DataFrame],
     obj = {r["bin"]: r["obj"] for r in objective(member).collect()}
     halving = {b: 0 for b in obj}
     nomove: dict = {}
-    for rnd in range(MAX_ROUNDS):
+    active = list(obj)
+    for rnd in count():
         started = time.time()
-        active = [b for b, h in halving.items() if h <= MAX_HALVINGS]
         if not active:
             break
-        state = small_table(spark, [(b, 2 ** halving[b]) for b in active],
-                            "bin bigint, stride bigint")
+        state = small_table(spark, [(b, 2 ** halving[b] if halving[b] <= MAX_HALVINGS
+                                     else MAX_HALVINGS + 1 - halving[b]) for b in active], "bin bigint, stride bigint")
         g = gains(member)
         best = (g.groupBy("bin", "nid")
                 .agg(F.max(F.struct("gain", (-F.col("comm")).alias("nc"))).alias("b"),
                      F.max(F.when(F.col("comm") == F.col("own"), F.col("gain"))).alias("stay"),
                      F.first("own").alias("own")))
-        movers = (best.join(F.broadcast(state), "bin")
-                  .where((F.col("b.gain") > F.col("stay") + EPS) &
-                         (-F.col("b.nc") != F.col("own")) &
-                         # alternate the allowed direction so two nodes cannot swap
-                         ((-F.col("b.nc") < F.col("own")) if rnd % 2 == 0
-                          else (-F.col("b.nc") > F.col("own"))) &
-                         (F.abs(F.xxhash64("nid", F.lit(rnd), F.lit(seed))) % F.col("stride") == 0))
-                  .select("bin", "nid", (-F.col("b.nc")).alias("new")))
+        wish = (best.join(F.broadcast(state), "bin")
+                .where((F.col("b.gain") > F.col("stay") + EPS) & (-F.col("b.nc") != F.col("own")))
+                .select("bin", "nid", "own", "stride", (-F.col("b.nc")).alias("new"),
+                        (F.col("b.gain") - F.col("stay")).alias("rise")))
+        # alternate the allowed direction so two nodes cannot swap
+        way = F.col("new") < F.col("own") if rnd % 2 == 0 else F.col("new") > F.col("own")
+        some = (wish.where((F.col("stride") > 0) & way &
+                           (F.pmod(F.xxhash64("nid", F.lit(rnd), F.lit(seed)), F.col("stride")) == 0))
+                .select("bin", "nid", "new"))
+        movers = some
+        if any(halving[b] > MAX_HALVINGS for b in active):
+            movers = some.unionByName(_apart(wish.where("stride = 0"))).unionByName(
+                wish.where("stride = -1").groupBy("bin")
+                .agg(F.max(F.struct("rise", "nid", "new")).alias("m")).select("bin", "m.nid", "m.new"))
         proposal = cut_lineage(
             member.join(movers, ["bin", "nid"], "left")
             .select("bin", "nid", F.coalesce("new", "comm").alias("comm"), *extras,
@@ -160,36 +170,62 @@ def local_moving(member: DataFrame, gains: Callable[[DataFrame], DataFrame],
         moved = {r["bin"]: r["n"] or 0 for r in stats}
         new_obj = {r["bin"]: r["obj"] for r in stats}
         scored = time.time()
-        accept, rejected = [], []
+        accept, rejected, ended = [], [], []
         for b in active:
             if moved.get(b, 0) == 0:
-                # nothing to move in this direction: try the other one, then stop
-                halving[b] = MAX_HALVINGS + 1 if nomove.get(b) else halving[b]
-                nomove[b] = True
+                if halving[b] > MAX_HALVINGS or (halving[b] == 0 and nomove.get(b)):
+                    ended.append(b)  # no node wants to move, in either direction
+                elif halving[b] == 0:
+                    nomove[b] = True
+                else:
+                    halving[b] = MAX_HALVINGS + 1  # the hashed subset held no mover
                 continue
             nomove[b] = False
             if new_obj.get(b, float("-inf")) > obj[b] + EPS:
                 accept.append(b)
                 obj[b] = new_obj[b]
+                if halving[b] != MAX_HALVINGS + 1:
+                    halving[b] = max(0, halving[b] - 1)
+            elif halving[b] > MAX_HALVINGS + 1:
+                rejected.append(b)
+                ended.append(b)      # the best move is within rounding of none
             else:
                 rejected.append(b)
                 halving[b] += 1
+        active = [b for b in active if b not in ended]
         if log is not None:
             log.append({"round": rnd, "accepted": len(accept), "active": len(active)})
         if VERBOSE:
             print(f"round {rnd} active={len(active)} accepted={len(accept)} "
                   f"moved={sum(moved.values())} obj={sum(obj.values()):.6f} "
                   f"t_prop={proposed - started:.1f} t_stats={scored - proposed:.1f}", flush=True)
+        before = member
         if accept and not rejected:
             member = proposal.drop("moved")
+            member._citeweave_path = proposal.__dict__.pop("_citeweave_path")
+            release(before)
         elif accept:
             acc = small_table(spark, [(b,) for b in accept], "bin bigint")
             newer = proposal.join(F.broadcast(acc), "bin", "left_semi").drop("moved")
             older = member.join(F.broadcast(acc), "bin", "left_anti")
             member = cut_lineage(newer.unionByName(older))
+            release(before, proposal)
+        else:
+            release(proposal)
     return member
 
 
+def _apart(wish: DataFrame) -> DataFrame:
+    """(bin, nid, new): the wishes that are the best of both communities they touch."""
+    best = (wish.select("bin", F.explode(F.array("own", "new")).alias("c"), "rise", "nid")
+            .groupBy("bin", "c").agg(F.max(F.struct("rise", "nid")).alias("m"))
+            .select("bin", "c", F.col("m.nid").alias("top")))
+    old, new = (best.select("bin", F.col("c").alias(name), F.col("top").alias(f"top_{name}"))
+                for name in ("own", "new"))
+    return (wish.join(old, ["bin", "own"]).join(new, ["bin", "new"])
+            .where("nid = top_own AND nid = top_new").select("bin", "nid", "new"))
+
+
 def aggregate_graph(edges: DataFrame, member: DataFrame) -> DataFrame:
     """Collapse communities to nodes: (bin, src, dst, w) summed between
     communities; intra-community weight becomes a self-loop."""
@@ -206,7 +242,7 @@ def compose(base: DataFrame, level: DataFrame) -> DataFrame:
     return base.join(lv, ["bin", "comm"]).select("bin", "nid", F.col("_c").alias("comm"))
 
 
-def connected_parts(edges: DataFrame, member: DataFrame, max_iter: int = 10_000) -> DataFrame:
+def connected_parts(edges: DataFrame, member: DataFrame) -> DataFrame:
     """Split every community into its weakly connected parts (along edges
     inside the community).  Label propagation of the smallest node id with
     pointer jumping; the new community id is the part's smallest node id."""
@@ -218,7 +254,7 @@ def connected_parts(edges: DataFrame, member: DataFrame, max_iter: int = 10_000)
     und = cut_lineage(intra.union(intra.select("bin", F.col("dst").alias("src"),
                                                 F.col("src").alias("dst"))).distinct())
     label = cut_lineage(member.select("bin", "nid", F.col("nid").alias("lab")))
-    for _ in range(max_iter):
+    while True:
         nb = (und.join(label.select("bin", F.col("nid").alias("dst"), F.col("lab").alias("l")),
                        ["bin", "dst"])
               .groupBy("bin", F.col("src").alias("nid")).agg(F.min("l").alias("l")))

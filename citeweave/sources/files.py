@@ -27,9 +27,12 @@ def register_view(df: DataFrame, name: str) -> DataFrame:
 
 
 def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             has_header: bool = True, columns: list[str] | None = None) -> DataFrame:
+             has_header: bool = True, columns: list[str] | None = None,
+             may_be_absent: tuple[str, ...] = ()) -> DataFrame:
     """Read headered CSV(.gz); map columns by header name onto
-    ``schema`` (missing ones NULL); array/map/struct columns are parsed from
+    ``schema``.  A header name outside the schema is an error, and so is a
+    column without one, but for those of ``may_be_absent``, which are NULL
+    then; a file without a header thus never loses rows.  Array/map/struct columns are parsed from
     JSON text; '' and unquoted empty both read as NULL.  ``columns`` keeps a
     subset (S5)."""
     if not has_header:
@@ -41,6 +44,11 @@ def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     if schema is None:
         out = raw
     else:
+        names = {f.name for f in schema.fields}
+        unknown = [c for c in raw.columns if c not in names]
+        missing = sorted(names - set(raw.columns) - set(may_be_absent))
+        if unknown or missing:
+            raise ValueError(f"CSV header of {path}: unknown columns {unknown}, missing columns {missing}")
         cols = []
         for f in schema.fields:
             if f.name not in raw.columns:

@@ -51,6 +51,21 @@ def test_csv_round_trip_cells(spark):
     assert back["c"].txt is None and back["d"].txt is None
 
 
+def test_csv_header_contract(spark):
+    folder = tempfile.mkdtemp(prefix="cw-csv-")
+    schema = spark.createDataFrame([], "code string, amount long").schema
+
+    def load(name, text, **options):
+        with open(os.path.join(folder, name), "w") as f:
+            f.write(text)
+        return fs.load_csv(spark, os.path.join(folder, name), schema, **options)
+    with pytest.raises(ValueError, match="unknown"):
+        load("headerless.csv", "k1,5\nk2,6\n")
+    with pytest.raises(ValueError, match="missing"):
+        load("short.csv", "code\nk1\n")
+    assert [tuple(r) for r in load("short.csv", "code\nk1\n", may_be_absent=("amount",)).collect()] == [("k1", None)]
+
+
 def test_report_round_trip(spark):
     clusters = spark.createDataFrame([(1950, 0, 6), (1950, 1, 7)],
                                      "bin bigint, cluster bigint, elements bigint")
