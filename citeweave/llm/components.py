@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeweave.session import cut_lineage
+from citeweave.session import cut_lineage, release
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,7 +15,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     neighbours are tied to its smallest one, then its smaller ones.  A round is
     two aggregates and two joins; a hub is one key of a map-side combined
     minimum and of a join whose other side has one row per node.  Every round
-    is written to the checkpoint folder.
+    is written to the checkpoint folder, and the round before it deleted.
     """
     e = cut_lineage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                     .where("u <> v").distinct())
@@ -34,6 +34,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new = cut_lineage(small)
         same = (new.join(e, ["u", "v"], "left_anti").isEmpty()
                 and e.join(new, ["u", "v"], "left_anti").isEmpty())
+        release(e)
         if same:
             roots = new.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             return new.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from citeweave.llm.components import components
 from citeweave.llm.frames import fresh
 from citeweave.llm.words import Words, slices
-from citeweave.session import cut_lineage, ship_package
+from citeweave.session import cut_lineage, release, ship_package
 
 SKETCH = 64
 KEYED = 32
@@ -122,7 +122,7 @@ class _Verifier:
         sure = found.where("whole").select("a", "b")
         open_ = found.where("NOT whole")
         if open_.isEmpty():
-            return sure
+            return found.select("a", "b")
         # texts of the nodes still in question, one row per node
         wanted = cut_lineage(
             open_.select(F.col("a").alias("node"), F.col("doc_a").alias("doc"))
@@ -131,7 +131,9 @@ class _Verifier:
         pair = (open_.select("a", "b")
                 .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
                 .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"))
-        return sure.unionByName(pair.mapInArrow(_confirmer(self.k, self.percent), "a long, b long"))
+        links = cut_lineage(sure.unionByName(pair.mapInArrow(_confirmer(self.k, self.percent), "a long, b long")))
+        release(found, wanted, texts)
+        return links
 
     def _texts(self, wanted: DataFrame) -> DataFrame:
         """(node, text).  A node is a class of equal shingle sets; any text of
@@ -175,24 +177,27 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
                                   F.col("m.sketch").alias("sketch"),
                                   F.coalesce("m.doc_id", spare).alias("own")))
     # a doc_id that repeats with different texts names several classes
+    made = classes
     twice = classes.groupBy("own").agg(F.count("*").alias("c")).where("c > 1").select("own")
     classes = cut_lineage(classes.join(twice.withColumn("again", F.lit(True)), "own", "left")
                           .withColumn("node", F.when(F.col("again"), spare).otherwise(F.col("own")))
                           .drop("own", "again"))
+    release(made)
 
     keys = _keys(classes.where("n_shingles > 3"), 2, KEYED)
     counts = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     lists = keys.join(counts, "key")
     # the node that lies in the longest lists stands nearest to the rest of its group
-    lists = cut_lineage(lists)
-    lists = cut_lineage(lists.join(lists.groupBy("node").agg(F.sum("c").alias("heat")), "node"))
+    bare = cut_lineage(lists)
+    lists = cut_lineage(bare.join(bare.groupBy("node").agg(F.sum("c").alias("heat")), "node"))
+    release(bare)
     centre = (lists.where(F.col("c") > COLD).groupBy("key")
               .agg(F.max(F.struct("heat", "node")).alias("m")).select("key", F.col("m.node").alias("first")))
     short = _pairs(lists.where(F.col("c") <= COLD), percent)
     star = (lists.where(F.col("c") > COLD).join(centre, "key").where("node <> first")
             .select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")))
     verifier = _Verifier(documents, classes, shingle, percent)
-    links = cut_lineage(verifier.links(short.unionByName(star).distinct()))
+    links = verifier.links(short.unionByName(star).distinct())
     roots = cut_lineage(components(links))
 
     mostly = _mostly_hot(lists)
@@ -203,25 +208,37 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
         apart = open_.where("root <> main")
         n_open = apart.select("node").distinct().count()
         if not n_open:
+            release(open_)
             break
         rank = F.struct(F.xxhash64("node", F.pmod("key", F.lit(8)), F.lit(salt)), F.col("node").alias("node"))
         inner = open_.where("root = main").groupBy("key").agg(F.min(rank).alias("m"))
         star = (apart.join(inner.select("key", F.col("m.node").alias("first")), "key")
                 .select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct())
-        more = cut_lineage(verifier.links(star))
+        more = verifier.links(star)
+        release(open_)
         n_more = more.count()
         if n_more:
+            before = links, roots
             links = cut_lineage(links.unionByName(more))
             roots = cut_lineage(components(links))
+            release(*before)
+        release(more)
         if 4 * n_more < n_open:
-            more = cut_lineage(verifier.links(_last_pairs(classes, mostly, roots, percent)))
+            pairs = _last_pairs(classes, mostly, roots, percent)
+            more = verifier.links(pairs)
+            release(pairs)
             if not more.isEmpty():
+                before = roots
                 roots = cut_lineage(components(links.unionByName(more)))
+                release(before)
+            release(more)
             break
+    release(lists, mostly, links)
 
     member = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = member.groupBy("root").agg(F.min("min_doc").alias("component_id"))
     group = cut_lineage(member.join(lowest, "root").select("digest", "component_id"))
+    release(classes, roots)
     # classes' group ids; a hot digest is hot on the rows' side only
     out = rows.drop("sketch").join(group, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -289,7 +306,7 @@ def _last_pairs(classes: DataFrame, mostly: DataFrame, roots: DataFrame,
     # a list of one component has nothing left to find
     parts = (keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
              .where("low < high").select("key"))
-    rows = cut_lineage(keys.join(parts, "key", "left_semi"))
+    kept = rows = cut_lineage(keys.join(parts, "key", "left_semi"))
     counted = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
     main = counted.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
     rows = rows.join(main, "key")
@@ -299,5 +316,7 @@ def _last_pairs(classes: DataFrame, mostly: DataFrame, roots: DataFrame,
     b = rows.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("root").alias("root_b"))
     fits = ((F.col("root_a") != F.col("root_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent)
             & (F.col("n_b") * 100 >= F.col("n_a") * percent))
-    return cut_lineage(a.join(b, "key").where(fits)
-                       .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = cut_lineage(a.join(b, "key").where(fits)
+                        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    release(kept)
+    return pairs
