@@ -17,8 +17,8 @@
 5. Long lists that still hold several components are gone through again, tying
    each node outside the list's largest component to about eight nodes inside it, as
    long as that links a quarter of them.  The nodes still apart meet each other
-   through keys of ``RUN`` neighbours of the whole sketch, which sets of likeness 0.8
-   share with odds of 1 - 1e-6 (sets under 25 elements: two neighbours, always).
+   through the rarest elements of their full sets, of which sets of likeness 0.8
+   always share one.
    Only nodes with more than a quarter of their keys in long lists take part: the
    others share, with any partner of likeness 0.8, keys of short lists.
 
@@ -31,11 +31,12 @@ empty table gives no rows.  Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.llm.components import components
@@ -47,7 +48,6 @@ SKETCH = 64
 KEYED = 32
 COLD = 16
 HOT_SHARE = 0.25
-RUN = 4
 # Binomial(64, 0.8) is 34 or less with odds under 1e-6
 LEAST_SHARED = 35
 
@@ -156,6 +156,20 @@ class _Verifier:
                 .join(digests, "digest").dropDuplicates(["node"]).select("node", "text"))
 
 
+    def elements(self, wanted: DataFrame) -> DataFrame:
+        """(node, e): the full sets of the wanted (node, doc), one row per element."""
+        k = self.k
+
+        def explode(batches):
+            for batch in batches:
+                for part, sets in _sets(batch, k):
+                    nodes = part.column("node").to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(nodes, [len(s) for s in sets])),
+                         pa.array(np.concatenate(sets).view(np.int64))], names=["node", "e"])
+        return self._texts(wanted).mapInArrow(explode, "node long, e long")
+
+
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_md5, n_shingles, component_id, kept: one row per row of ``documents``.
 
@@ -224,7 +238,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
             release(*before)
         release(more)
         if 4 * n_more < n_open:
-            pairs = _last_pairs(classes, mostly, roots, percent)
+            pairs = _last_pairs(verifier, mostly, roots)
             more = verifier.links(pairs)
             release(pairs)
             if not more.isEmpty():
@@ -296,27 +310,57 @@ def _open(lists: DataFrame, mostly: DataFrame, roots: DataFrame) -> DataFrame:
     return cut_lineage(rows.join(main, "key"))
 
 
-def _last_pairs(classes: DataFrame, mostly: DataFrame, roots: DataFrame,
-                percent: int) -> DataFrame:
-    """Pairs of different components among the nodes of long lists, by longer keys."""
-    nodes = classes.join(mostly, "node", "left_semi")
-    keys = (_keys(nodes.where("n_shingles >= 20"), RUN, SKETCH)
-            .unionByName(_keys(nodes.where("n_shingles < 25 AND n_shingles > 3"), 2, SKETCH))
-            .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    # a list of one component has nothing left to find
-    parts = (keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-             .where("low < high").select("key"))
-    kept = rows = cut_lineage(keys.join(parts, "key", "left_semi"))
-    counted = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = counted.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-    rows = rows.join(main, "key")
-    # every node outside the largest component meets the whole list
-    a = rows.where("root <> main").select("key", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"),
-                                          F.col("root").alias("root_a"))
-    b = rows.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("root").alias("root_b"))
-    fits = ((F.col("root_a") != F.col("root_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent)
-            & (F.col("n_b") * 100 >= F.col("n_a") * percent))
-    pairs = cut_lineage(a.join(b, "key").where(fits)
+def _last_pairs(verifier: _Verifier, mostly: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of different components among the nodes of long lists, by exact prefixes
+    of the full sets in order of rising frequency.
+
+    Sets of n and m elements that are to be linked share at least
+    o = percent * (n + m) / (100 + percent) elements, so one of the first n - o + 1 of
+    the one is among the first m - o + 1 of the other.  A text that misses its
+    group's common elements by too much to be linked with their centre has as many
+    elements of its own, which come first and lie in short lists.  Sizes are
+    joined by classes 2 % wide, since o grows with the partner's size.
+    """
+    percent = verifier.percent
+    nodes = cut_lineage(verifier.classes.join(mostly, "node", "left_semi").join(roots, "node", "left")
+                        .select("node", F.col("n_shingles").alias("n"), F.col("min_doc").alias("doc"),
+                                F.coalesce("root", "node").alias("root"),
+                                F.floor(F.log("n_shingles") / math.log(1.02)).alias("own")))
+    elements = cut_lineage(verifier.elements(nodes.select("node", "doc")))
+
+    def least(n: Column, m: Column) -> Column:
+        return F.ceil((n + m) * percent / (100 + percent) - 1e-9)
+
+    counts = elements.groupBy("e").agg(F.count("*").alias("c"))
+    # one window holds one text's set
+    order = Window.partitionBy("node").orderBy("c", "e")
+    rows = (elements.join(counts, "e").withColumn("pos", F.row_number().over(order))
+            .join(nodes.drop("doc"), "node")
+            .where((F.col("c") > 1) & (F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1))
+            .select("e", "node", "n", "root", "own", "pos"))
+    rows = cut_lineage(rows)
+    release(elements)
+    # the sizes and components each list holds, by class
+    present = cut_lineage(rows.groupBy("e", F.col("own").alias("other")).agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("r0"), F.max("root").alias("r1")))
+    smallest = F.greatest("low", F.ceil(F.col("n") * percent / 100 - 1e-9))
+    keyed = cut_lineage(
+        rows.join(present, "e")
+        .where((F.col("r0") != F.col("root")) | (F.col("r1") != F.col("root")))
+        .where((F.col("low") * percent <= F.col("n") * 100) & (F.col("high") * 100 >= F.col("n") * percent))
+        .where(F.col("pos") <= F.col("n") - least(F.col("n"), smallest) + 1)
+        .drop("low", "high", "r0", "r1"))
+    parts = keyed.groupBy("e", "root").agg(F.count("*").alias("c"))
+    main = parts.groupBy("e").agg(F.max(F.struct("c", "root")).alias("m")).select("e", F.col("m.root").alias("main"))
+    a = keyed.join(main, "e").where("root <> main").select(
+        "e", "own", "other", "main", F.col("node").alias("a"), F.col("n").alias("n_a"),
+        F.col("root").alias("root_a"), F.col("pos").alias("pos_a"))
+    b = keyed.select("e", F.col("own").alias("other"), F.col("other").alias("own"), F.col("node").alias("b"),
+                     F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("pos").alias("pos_b"))
+    shared = least(F.col("n_a"), F.col("n_b"))
+    meets = ((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b")))
+             & (F.col("pos_a") <= F.col("n_a") - shared + 1) & (F.col("pos_b") <= F.col("n_b") - shared + 1))
+    pairs = cut_lineage(a.join(b, ["e", "own", "other"]).where(meets)
                         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    release(kept)
+    release(nodes, rows, present, keyed)
     return pairs
