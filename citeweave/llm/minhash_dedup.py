@@ -14,9 +14,7 @@
 4. Pairs are filtered by the estimate on the union of the two sketches
    (a pair of likeness 0.8 falls below it with odds under 1e-6) and the rest is
    confirmed on the full sets.  Confirmed links give components.
-5. Long lists that still hold several components are gone through again, tying
-   each node outside the list's largest component to about eight nodes inside it, as
-   long as that links a quarter of them.  The nodes still apart meet each other
+5. The nodes of long lists that lie in different components meet each other
    through the rarest elements of their full sets, of which sets of likeness 0.8
    always share one.
    Only nodes with more than a quarter of their keys in long lists take part: the
@@ -215,38 +213,14 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     roots = cut_lineage(components(links))
 
     mostly = _mostly_hot(lists)
-    salt = 0
-    while True:
-        salt += 1
-        open_ = _open(lists, mostly, roots)
-        apart = open_.where("root <> main")
-        n_open = apart.select("node").distinct().count()
-        if not n_open:
-            release(open_)
-            break
-        rank = F.struct(F.xxhash64("node", F.pmod("key", F.lit(8)), F.lit(salt)), F.col("node").alias("node"))
-        inner = open_.where("root = main").groupBy("key").agg(F.min(rank).alias("m"))
-        star = (apart.join(inner.select("key", F.col("m.node").alias("first")), "key")
-                .select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct())
-        more = verifier.links(star)
-        release(open_)
-        n_more = more.count()
-        if n_more:
-            before = links, roots
-            links = cut_lineage(links.unionByName(more))
-            roots = cut_lineage(components(links))
-            release(*before)
-        release(more)
-        if 4 * n_more < n_open:
-            pairs = _last_pairs(verifier, mostly, roots)
-            more = verifier.links(pairs)
-            release(pairs)
-            if not more.isEmpty():
-                before = roots
-                roots = cut_lineage(components(links.unionByName(more)))
-                release(before)
-            release(more)
-            break
+    pairs = _last_pairs(verifier, mostly, roots)
+    more = verifier.links(pairs)
+    release(pairs)
+    if not more.isEmpty():
+        before = roots
+        roots = cut_lineage(components(links.unionByName(more)))
+        release(before)
+    release(more)
     release(lists, mostly, links)
 
     member = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -299,17 +273,6 @@ def _mostly_hot(lists: DataFrame) -> DataFrame:
                        .where(F.col("h") > HOT_SHARE * n_keys).select("node"))
 
 
-def _open(lists: DataFrame, mostly: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of the long lists that hold several components, with each row's
-    component ``root`` and the list's largest one ``main``."""
-    rows = (lists.where(F.col("c") > COLD).join(mostly, "node", "left_semi").join(roots, "node", "left")
-            .select("key", "node", "n_shingles", F.coalesce("root", "node").alias("root")))
-    parts = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = (parts.groupBy("key").agg(F.count("*").alias("n_parts"), F.max(F.struct("c", "root")).alias("m"))
-            .where("n_parts > 1").select("key", F.col("m.root").alias("main")))
-    return cut_lineage(rows.join(main, "key"))
-
-
 def _last_pairs(verifier: _Verifier, mostly: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of different components among the nodes of long lists, by exact prefixes
     of the full sets in order of rising frequency.
