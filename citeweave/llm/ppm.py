@@ -8,10 +8,13 @@ predicted from the longest known context; escape estimation is method C
 symbols of the longer one it escaped from.  Below order 0 the bytes not yet left
 out are equally likely.
 
-Counts are gathered over the whole training corpus.  The trie that tasks receive
-keeps the context-symbol pairs seen at least N / ``PAIRS`` times, so
-at most PAIRS of them per order whatever the corpus.  A shorter context's pair is
-seen at least as often as a longer one's, so the kept trie is whole downwards.
+All pairs count, however rare.  Tasks receive a fast path of bounded size: the
+most frequent order-``ORDER`` pairs (at most ``PAIRS``) with their exact weights.
+All other grams of the scored texts meet the full table of counts in one shuffle
+by their last ``LOW`` context bytes: the pairs of the longer orders that a gram can
+need lie beside it there, and the counts of orders 0 to LOW - 1 are kept whole (LOW
+bytes of text, so bounded by the alphabet).  Their weights are joined back to the
+texts by gram.
 
 Word counts for the base score are kept exactly for all words: words seen at least
 N / ``FREQUENT`` times (at most FREQUENT words) are looked up in the task, the
@@ -35,10 +38,11 @@ from citeweave.llm.words import LOWER, HashIndex, Words, slices, text_bytes
 from citeweave.session import cut_lineage, ship_package
 
 ORDER = 5
-PAIRS = 1 << 21
+LOW = 3
+PAIRS = 1 << 19
 FREQUENT = 1 << 20
 END = 0x7FFFFFFFFFFFFFFF  # the end token's place among word hashes
-_HELD = 2_000_000
+_HELD = 1_000_000
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:
@@ -109,7 +113,7 @@ def _word_keys(w: Words) -> np.ndarray:
 def _count(batches):
     words, grams = _Counter(0), _Counter(1)
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, max_bytes=1 << 20):
             data, offsets = text_bytes(part.column("text"))
             yield from words.add(np.concatenate([_word_keys(Words(data, offsets)),
                                                  np.full(part.num_rows, END, np.uint64)]))
@@ -119,20 +123,21 @@ def _count(batches):
 
 
 class Trie:
-    """The kept counts of all orders as hash tables with their log10 weights."""
+    """Counts of all orders as hash tables with their log10 weights, above the
+    levels of another trie if given."""
 
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]]):
-        self.levels = []
-        below = None
-        for order, (keys, counts) in enumerate(orders):
+    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]], under: "Trie | None" = None):
+        self.levels = list(under.levels) if under else []
+        below = self.levels[-1] if under else None
+        for order, (keys, counts) in enumerate(orders, len(self.levels)):
             sort = np.argsort(keys)
             keys, counts = keys[sort], counts[sort].astype(np.float64)
-            ctx, first, back = np.unique(keys >> np.uint64(8), return_index=True, return_inverse=True)
+            ctx, back = np.unique(keys >> np.uint64(8), return_inverse=True)
             total = np.bincount(back, weights=counts, minlength=len(ctx))
             kinds = np.bincount(back, minlength=len(ctx)).astype(np.float64)
             level = {"keys": keys, "counts": counts, "ctx": ctx, "total": total, "kinds": kinds,
                      "own": np.log10(counts / (total + kinds)[back]) if len(keys) else counts}
-            if below is not None and len(keys):
+            if below is not None:
                 # what the next shorter context has beside this one's symbols
                 mask = np.uint64((1 << 8 * order) - 1)
                 at = np.searchsorted(below["keys"], keys & mask)
@@ -174,36 +179,85 @@ class Trie:
         return out
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the pairs of an order from those of longer grams."""
+    out, back = np.unique(keys & np.uint64((1 << 8 * (order + 1)) - 1), return_inverse=True)
+    return out, np.bincount(back, weights=counts, minlength=len(out)).astype(np.int64)
+
+
+def _context() -> Column:
+    """The last LOW context bytes of a gram."""
+    return F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * LOW) - 1))
+
+
 def _learn(documents: DataFrame):
-    """Word counts (table), N, V, the frequent words and the trie's counts."""
+    """Word counts (table), gram counts (table), N, V, the frequent words, the
+    weights of frequent grams and the counts of the orders under LOW."""
     counts = cut_lineage(documents.where(~held_out()).select("text")
                          .mapInArrow(_count, "kind int, key long, n long")
                          .groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    words, grams = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1")
+    words, grams = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1").select("key", "n")
     w = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = int(w["n"] or 0), int(w["v"])
     frequent = words.where(F.col("n") * FREQUENT >= n).toPandas() if n else None  # at most FREQUENT rows
-    symbols = int(grams.agg(F.sum("n")).first()[0] or 0)
-    masks = F.array(*[F.struct(F.lit(o).alias("order"), F.lit((1 << 8 * (o + 1)) - 1).cast("long").alias("mask"))
-                      for o in range(ORDER + 1)])
-    kept = (grams.select("key", "n", F.explode(masks).alias("m"))
-            .groupBy(F.col("m.order").alias("order"), F.col("key").bitwiseAND(F.col("m.mask")).alias("key"))
-            .agg(F.sum("n").alias("n")).where(F.col("n") * PAIRS >= symbols)).toPandas()  # at most PAIRS an order
-    orders = [(kept.key[kept.order == o].to_numpy(np.int64).view(np.uint64), kept.n[kept.order == o].to_numpy())
-              for o in range(ORDER + 1)]
+    # the least count that at most PAIRS grams reach, to an eighth of a power of two
+    step = F.floor(F.log2("n") * 8).cast("int")
+    many, least = 0, None
+    for r in sorted(grams.groupBy(step.alias("step")).count().collect(), reverse=True):  # at most 512 rows
+        many += r["count"]
+        if many > PAIRS:
+            break
+        least = r["step"]
+    contexts = grams.groupBy(F.shiftright("key", 8).alias("ctx")).agg((F.sum("n") + F.count("*")).alias("whole"))
+    top = (grams.where(step >= (least if least is not None else 1 << 20))
+           .join(contexts, F.shiftright("key", 8) == F.col("ctx"))
+           .select("key", F.log10(F.col("n") / F.col("whole")).alias("own"))).toPandas()  # at most PAIRS rows
+    low = (grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * LOW) - 1)).alias("key"))
+           .agg(F.sum("n").alias("n"))).toPandas()  # pairs of LOW bytes
+    key, count = low.key.to_numpy(np.int64).view(np.uint64), low.n.to_numpy(np.int64)
+    orders = [_summed(key, count, o) for o in range(LOW)]
     known = ((frequent.key.to_numpy(np.int64).view(np.uint64), frequent.n.to_numpy()) if n
              else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-    return words, n, v, known, orders
+    return (words, grams, n, v, known,
+            (top.key.to_numpy(np.int64).view(np.uint64), top.own.to_numpy(np.float64)), orders)
+
+
+def _weights(low: Trie, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Weights of the grams asked for (count 0) beside all counted grams of their contexts."""
+    known = counts > 0
+    asked = np.unique(keys[~known])
+    trie = Trie([_summed(keys[known], counts[known], o) for o in range(LOW, ORDER + 1)], low)
+    return pa.RecordBatch.from_arrays([pa.array(asked.view(np.int64)), pa.array(trie.log10(asked))],
+                                      names=["key", "weight"])
+
+
+def _gram_weights(shared, tag: str):
+    def run(batches):
+        low = _tables(tag + "low", lambda: Trie(shared.value))
+        held, size = [], 0
+        for batch in batches:  # in order of context
+            held.append((batch.column("key").to_numpy().view(np.uint64), batch.column("n").to_numpy()))
+            size += batch.num_rows
+            if size >= 100_000:
+                keys, counts = (np.concatenate(x) for x in zip(*held))
+                ctx = (keys >> np.uint64(8)) & np.uint64((1 << 8 * LOW) - 1)
+                cut = int(np.searchsorted(ctx, ctx[-1]))  # the last context may go on
+                if cut:
+                    yield _weights(low, keys[:cut], counts[:cut])
+                held, size = [(keys[cut:], counts[cut:])], len(keys) - cut
+        if size:
+            yield _weights(low, *(np.concatenate(x) for x in zip(*held)))
+    return run
 
 
 _built: dict = {}
 
 
-def _tables(key: str, known, orders):
-    """Hash tables of the broadcast counts, built once per Python worker."""
+def _tables(key: str, build):
+    """Tables of the broadcast counts, built once per Python worker."""
     if key not in _built:
         _built.clear()
-        _built[key] = (HashIndex(known[0]), known[1].astype(np.float64), Trie(orders))
+        _built[key] = build()
     return _built[key]
 
 
@@ -212,14 +266,17 @@ def score_documents(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     ship_package(spark)
     docs = documents.select("doc_id", "text")
-    words, n, v, known, orders = _learn(docs)
-    shared = spark.sparkContext.broadcast((known, orders))
+    words, grams, n, v, known, top, orders = _learn(docs)
+    shared, low = spark.sparkContext.broadcast((known, top)), spark.sparkContext.broadcast(orders)
     tag, norm = uuid.uuid4().hex, float(n + v + 1)
 
     def run(batches):
-        index, count, trie = _tables(tag, *shared.value)
+        def build():
+            (word, often), (gram, own) = shared.value
+            return HashIndex(word), often.astype(np.float64), HashIndex(gram), own
+        index, count, gram_index, own = _tables(tag, build)
         for batch in batches:
-            for part in slices(batch, max_bytes=2 << 20):
+            for part in slices(batch, max_bytes=1 << 20):
                 data, offsets = text_bytes(part.column("text"))
                 w = Words(data, offsets)
                 n_docs = part.num_rows
@@ -234,24 +291,48 @@ def score_documents(documents: DataFrame) -> DataFrame:
                 sort = np.argsort(rare_doc, kind="stable")
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(rare_doc, minlength=n_docs))])
                 keys, spans = _grams(data, offsets)
-                score = np.add.reduceat(trie.log10(keys), spans[:-1])
+                place = np.repeat(np.arange(n_docs), np.diff(spans))
+                at = gram_index.find(keys)
+                hit = at >= 0
+                score = np.bincount(place[hit], weights=own[at[hit]], minlength=n_docs).astype(np.float64)
+                # the others, each once per text with its number
+                other, times = keys[~hit], place[~hit]
+                by = np.lexsort((other, times))
+                other, times = other[by], times[by]
+                head = np.ones(len(other), dtype=bool)
+                head[1:] = (other[1:] != other[:-1]) | (times[1:] != times[:-1])
+                head = np.flatnonzero(head)
+                repeats = np.diff(np.append(head, len(other)))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(times[head], minlength=n_docs))])
+                others = pa.StructArray.from_arrays([pa.array(other[head].view(np.int64)),
+                                                     pa.array(repeats.astype(np.int32))], names=["key", "times"])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array(many.astype(np.int64)),
                      pa.array(known_here.astype(np.int64)), pa.array(got.astype(np.float64)), pa.array(score),
                      pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)),
-                                              pa.array(rare[sort].view(np.int64)))],
-                    names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+                                              pa.array(rare[sort].view(np.int64))),
+                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), others)],
+                    names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "grams"])
 
     rows = cut_lineage(docs.withColumn("held_out", held_out()).mapInArrow(
-        run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>")
+        run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, "
+        "rare array<long>, grams array<struct<key: long, times: int>>")
         .withColumn("row", F.monotonically_increasing_id()))
     # the others' counts: map-side combined per row and word before the join
     rare = (rows.select("row", F.explode("rare").alias("key"))
             .join(words.where(F.col("n") * FREQUENT < n), "key", "left")
             .groupBy("row").agg(F.count("n").alias("more_known"),
                                 F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(norm))).alias("more")))
-    return (rows.drop("rare").join(rare, "row", "left")
+    asked = rows.select("row", F.explode("grams").alias("g")).select("row", "g.key", "g.times")
+    parts = _context()
+    weights = (grams.unionByName(asked.select("key").distinct().withColumn("n", F.lit(0).cast("long")))
+               .repartition(parts).sortWithinPartitions(parts)
+               .mapInArrow(_gram_weights(low, tag), "key long, weight double"))
+    more_score = (asked.join(weights, "key").groupBy("row")
+                  .agg(F.sum(F.col("weight") * F.col("times")).alias("more_score")))
+    return (rows.drop("rare", "grams").join(rare, "row", "left").join(more_score, "row", "left")
             .select("doc_id", "held_out", "n_tokens",
                     (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
                     F.lit(n).cast("long").alias("train_tokens"),
-                    (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score"))
+                    (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+                    (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score")))

@@ -298,6 +298,18 @@ def test_ppm(spark, corpus):
         assert r.score == pytest.approx(score(text[r.doc_id].encode()))
 
 
+@pytest.mark.parametrize("pairs", [0, 40, 1 << 21])
+def test_ppm_counts_rare_grams_beside_a_small_fast_path(spark, corpus, monkeypatch, pairs):
+    """Scores do not depend on the size of the fast path."""
+    from citeweave.llm import ppm
+    monkeypatch.setattr(ppm, "PAIRS", pairs)
+    rows = [(i, t, None, None, None) for i, t, *_ in corpus[:30]] + [(300, "seldom \u00fcsed \x01 words", None, None, None)]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows}
+    score = ppm_reference([t.encode() for i, t, *_ in rows if not held[i]], ppm.ORDER)
+    got = {r.doc_id: r.score for r in ppm.score_documents(frame(spark, rows)).collect()}
+    assert got == {i: pytest.approx(score(t.encode())) for i, t, *_ in rows}
+
+
 def test_classifiers_on_held_out_labels(spark):
     """Trained on three quarters of the labels, judged on the rest."""
     from citeweave.llm.ordinal import quality, rated
