@@ -131,6 +131,20 @@ def test_passages(spark, corpus):
     assert all(left[i] == corpus[i][1] for i in clean)
 
 
+def test_passages_around_a_frequent_line(spark):
+    """Passages of larger ids hold a line that smaller documents have too."""
+    from citeweave.llm.substring_dedup import duplicate_passages
+    rng = random.Random(9)
+    line = words_of(rng, 40)
+    rows = [words_of(rng, 20) + line + words_of(rng, 20) for _ in range(20)]
+    for _ in range(40):
+        shared = words_of(rng, 8) + line + words_of(rng, 7)
+        rows += [words_of(rng, 20) + shared + words_of(rng, 20) for _ in range(2)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    pairs = {(r.doc_id, r.other_doc_id) for r in duplicate_passages(df).collect()}
+    assert pairs >= {(21 + 2 * k, 20 + 2 * k) for k in range(40)}
+
+
 def test_sharding(spark, corpus):
     from citeweave.llm.sharding import dealt, rebalanced, shard_documents
     rows = shard_documents(frame(spark, corpus)).collect()
