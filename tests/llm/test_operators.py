@@ -156,6 +156,25 @@ def test_near_passages_need_one_function(spark):
     assert found.select("doc_id").distinct().count() >= 0.99 * 600
 
 
+def test_repeated_lines_are_passages():
+    """A line repeated in both texts, of any length, at any number of repeats."""
+    from citeweave.llm.substring_dedup import align, longest_runs
+    rng = np.random.default_rng(1)
+    for size, m, n in [(12, 10, 10), (12, 10, 7), (3, 40, 30), (1, 90, 60), (7, 12, 30)]:
+        line = rng.integers(1, 1 << 40, size).astype(np.uint64)
+        a, b = (np.concatenate([rng.integers(1, 1 << 40, 20).astype(np.uint64), np.tile(line, k),
+                                rng.integers(1, 1 << 40, 20).astype(np.uint64)]) for k in (m, n))
+        got = align(a, b, np.ones(len(a), bool), 5, 50, 80)
+        inside = {p for s, k, *_ in got for p in range(s, s + k - 4)}
+        assert inside >= set(range(20, 20 + size * m))
+        assert all((a[s:s + k - 4] == b[u:u + v - 4]).all() for s, k, u, v, like in got if like == 1.0)
+    a, b = rng.integers(0, 3, 60), rng.integers(0, 3, 80)
+    length, at = longest_runs(a, b)
+    for i in range(60):
+        best = max(next((k for k in range(61) if i + k >= 60 or j + k >= 80 or a[i + k] != b[j + k])) for j in range(80))
+        assert length[i] == best and (a[i:i + best] == b[at[i]:at[i] + best]).all()
+
+
 def test_sharding(spark, corpus):
     from citeweave.llm.sharding import dealt, rebalanced, shard_documents
     rows = shard_documents(frame(spark, corpus)).collect()
