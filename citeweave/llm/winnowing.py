@@ -1,10 +1,11 @@
 """Document fingerprints by winnowing, in Spark SQL functions only.
 
-A text is cut into tokens (runs of up to ``TOKEN`` characters inside a word),
-every ``GRAM`` neighbouring tokens are hashed, and of every ``WINDOW``
+Tokens are the words of up to ``TOKEN`` characters and, in longer words and text
+without spaces, the TOKEN characters from every position on; every ``GRAM`` neighbouring tokens are hashed, and of every ``WINDOW``
 neighbouring hashes the smallest is kept, the rightmost on ties.  Hashes are
 ordered by their upper 32 bits.  Two texts that share a run of
-GRAM + WINDOW - 1 tokens share a kept hash.  Positions (token numbers) of the
+GRAM + WINDOW - 1 tokens share a kept hash (inside text without spaces: of
+GRAM + WINDOW + TOKEN - 2 characters, wherever it stands).  Positions (token numbers) of the
 kept hashes are returned with them.
 
 Window minima come from doubling: minima over 1, 2, 4, 8 neighbours, each one
@@ -51,10 +52,17 @@ def _window_minima(packed: Column) -> Column:
     return _bind(out, lambda a: F.slice(a, 1, F.greatest(F.size(a) - (WINDOW - 1), F.lit(1))))
 
 
+def tokens_of(text: Column) -> Column:
+    """Tokens in order of their first character."""
+    word = r"[^\x20\x09-\x0D]"
+    return F.regexp_extract_all(
+        text, F.lit(rf"(?=({word}{{{TOKEN}}}|(?<!{word}){word}{{1,{TOKEN - 1}}}(?!{word}))){word}"), F.lit(1))
+
+
 def fingerprint(text: Column) -> Column:
     """struct<hashes: array<bigint>, places: array<int>>: the kept hashes in
     order of position, and their positions."""
-    tokens = F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{TOKEN}}}"), F.lit(0))
+    tokens = tokens_of(text)
     low = F.lit(_PLACE).cast("long")
 
     def grams(t):

@@ -131,31 +131,6 @@ def test_passages(spark, corpus):
     assert all(left[i] == corpus[i][1] for i in clean)
 
 
-def test_passages_around_a_frequent_line(spark):
-    """Passages of larger ids hold a line that smaller documents have too."""
-    from citeweave.llm.substring_dedup import duplicate_passages
-    rng = random.Random(9)
-    line = words_of(rng, 40)
-    rows = [words_of(rng, 20) + line + words_of(rng, 20) for _ in range(20)]
-    for _ in range(40):
-        shared = words_of(rng, 8) + line + words_of(rng, 7)
-        rows += [words_of(rng, 20) + shared + words_of(rng, 20) for _ in range(2)]
-    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
-    pairs = {(r.doc_id, r.other_doc_id) for r in duplicate_passages(df).collect()}
-    assert pairs >= {(21 + 2 * k, 20 + 2 * k) for k in range(40)}
-
-
-def test_near_passages_need_one_function(spark):
-    """Pairs of likeness 0.807: two of four functions would find 0.97 of them."""
-    from citeweave.llm.substring_dedup import duplicate_passages
-    rng, rows = random.Random(8), []
-    for i in range(600):
-        w = [f"p{i}x{rng.randrange(10 ** 6)}" for _ in range(51)]
-        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:25] + ["edit"] + w[26:]))]
-    found = duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert found.select("doc_id").distinct().count() >= 0.99 * 600
-
-
 def test_repeated_lines_are_passages():
     """A line repeated in both texts, of any length, at any number of repeats."""
     from citeweave.llm.substring_dedup import align, longest_runs
@@ -175,6 +150,31 @@ def test_repeated_lines_are_passages():
         assert length[i] == best and (a[i:i + best] == b[at[i]:at[i] + best]).all()
 
 
+def test_near_passages_need_one_function(spark):
+    """Pairs of likeness 0.807: two of four functions would find 0.97 of them."""
+    from citeweave.llm.substring_dedup import duplicate_passages
+    rng, rows = random.Random(8), []
+    for i in range(600):
+        w = [f"p{i}x{rng.randrange(10 ** 6)}" for _ in range(51)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:25] + ["edit"] + w[26:]))]
+    found = duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.select("doc_id").distinct().count() >= 0.99 * 600
+
+
+def test_passages_around_a_frequent_line(spark):
+    """Passages of larger ids hold a line that smaller documents have too."""
+    from citeweave.llm.substring_dedup import duplicate_passages
+    rng = random.Random(9)
+    line = words_of(rng, 40)
+    rows = [words_of(rng, 20) + line + words_of(rng, 20) for _ in range(20)]
+    for _ in range(40):
+        shared = words_of(rng, 8) + line + words_of(rng, 7)
+        rows += [words_of(rng, 20) + shared + words_of(rng, 20) for _ in range(2)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    pairs = {(r.doc_id, r.other_doc_id) for r in duplicate_passages(df).collect()}
+    assert pairs >= {(21 + 2 * k, 20 + 2 * k) for k in range(40)}
+
+
 def test_sharding(spark, corpus):
     from citeweave.llm.sharding import dealt, rebalanced, shard_documents
     rows = shard_documents(frame(spark, corpus)).collect()
@@ -212,6 +212,19 @@ def test_base_rules(spark, corpus):
         assert not (r.kept and r.base_failed)
 
 
+def test_winnowing_at_every_position_of_unspaced_text(spark):
+    from citeweave.llm.winnowing import fingerprint, tokens_of
+    rng = random.Random(4)
+    run = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400))
+    rows = [(0, run), (1, run[:3] + "x" + run[3:]), (2, "yz" * 7 + run[50:] + " end"), (3, "ab abcdefgh abcdefghij")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in df.select("doc_id", tokens_of(F.col("text")).alias("t"),
+                                          fingerprint(F.col("text")).alias("p")).collect()}
+    assert got[3].t == ["ab", "abcdefgh", "abcdefgh", "bcdefghi", "cdefghij"]
+    own = set(got[0].p.hashes)
+    assert len(own & set(got[1].p.hashes)) > 0.8 * len(own) and len(own & set(got[2].p.hashes)) > 0.7 * len(own)
+
+
 def test_winnowing(spark, corpus):
     from citeweave.llm.winnowing import GRAM, WINDOW, fingerprint, fingerprint_documents
     df = frame(spark, corpus)
