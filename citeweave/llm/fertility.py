@@ -4,8 +4,7 @@ Each text is measured with a public vocabulary: characters per token, share of
 byte-fallback tokens, and entropy of its tokens relative to the most that
 so many tokens can have.  A language's band for each measure is
 [q25 - 3 IQR, q75 + 3 IQR] over all its documents that pass the base rules
-(the reach is never under ``REACH``); texts outside a band are rejected.  Languages of fewer than ``LEAST`` such
-documents use the band of the whole corpus.
+(the reach is never under ``REACH``), however few; texts outside a band are rejected.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` and tokens are those of the single words.  Rows:
 null or word-free text has zero counts, no measures and fails the base rule;
@@ -26,7 +25,6 @@ from citeweave.llm.words import Words, mix, ranges, slices, span_hash
 from citeweave.session import cut_lineage, ship_package
 
 TOKENIZERS = "/opt/tokenizers"
-LEAST = 100
 FENCE = 3.0
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 
@@ -143,12 +141,7 @@ def quality_rules(documents: DataFrame, model_path: str = f"{TOKENIZERS}/piece_b
                                      "base_failed": failed}))
     good = rows.where("NOT base_failed")
     quartiles = lambda c: F.percentile_approx(c, [0.25, 0.75], 10_000).alias(f"q_{c}")
-    per_lang = good.groupBy("lang").agg(F.count("*").alias("n"), *[quartiles(c) for c in MEASURES])
-    overall = good.agg(*[quartiles(c).alias(f"all_{c}") for c in MEASURES])
-    bands = cut_lineage(per_lang.crossJoin(F.broadcast(overall)).select(  # one row
-        F.col("lang").alias("band_lang"),
-        *[F.when(F.col("n") >= LEAST, F.col(f"q_{c}")).otherwise(F.col(f"all_{c}")).alias(f"q_{c}")
-          for c in MEASURES]))
+    bands = cut_lineage(good.groupBy(F.col("lang").alias("band_lang")).agg(*[quartiles(c) for c in MEASURES]))
     ok = F.lit(True)
     for c in MEASURES:
         low, high = F.get(f"q_{c}", 0), F.get(f"q_{c}", 1)

@@ -212,6 +212,19 @@ def test_base_rules(spark, corpus):
         assert not (r.kept and r.base_failed)
 
 
+def test_bands_of_small_languages(spark):
+    """A language is judged by its own band, with 99 documents as with 100."""
+    from citeweave.llm.fertility import quality_rules
+    rng = random.Random(2)
+    text = lambda pool: " ".join(rng.choice(pool) for _ in range(80))
+    main = ["".join(rng.choice("abcdeinorst") for _ in range(6)) for _ in range(400)]
+    rare = ["".join(chr(0x1401 + rng.randrange(600)) for _ in range(5)) for _ in range(400)]
+    for n in (3, 99, 100):
+        rows = [(i, text(main), "en", "s", 0) for i in range(300)] + [(1000 + i, text(rare), "cr", "s", 0) for i in range(n)]
+        kept = [r.kept for r in quality_rules(frame(spark, rows)).where("lang = 'cr'").collect()]
+        assert len(kept) == n and sum(kept) >= 0.9 * n
+
+
 def test_winnowing_at_every_position_of_unspaced_text(spark):
     from citeweave.llm.winnowing import fingerprint, tokens_of
     rng = random.Random(4)
