@@ -8,19 +8,21 @@ o = percent * (n + m) / (100 + percent) are ever accumulated.
 1. *Prefix block.*  Under one order of the columns, sets of n and m elements with
    overlap o or more share a column among the first n - ceil(percent * n / 100) + 1
    of each.  Only these columns open entries.  The order is: columns of short lists
-   by hash, then columns of long lists (over ``COLD`` rows) by frequency.  It is
-   found by counting the prefixes under the plain hash order, counting the full
-   sets of the rows that meet a long list there, and repeating for rows that meet
-   a column found long by this, until no row is added.  A frequent line or passage
-   thus leaves the prefix of every text that has enough else.
+   by hash, then columns of long lists (over ``COLD`` rows).  Lists are counted on the
+   prefixes under the plain hash order, a few columns longer than needed; a row drops its
+   long columns from that and is left with enough short ones.  A frequent line or
+   passage thus leaves the prefix of every text that has enough else.  Rows with
+   more long columns than spare ones, such as those of large groups of near copies, are
+   *dense*: their full sets are read.  They meet the other rows under the same order,
+   and each other under an order whose lists are counted on the dense rows' full sets.
 2. *Short columns* are multiplied out.  An entry (a, b) accumulates its overlap and
    the last positions i, j that were shared; it is dropped when overlap +
    min(n - i, m - j) is below o.
 3. *Suffix block.*  What is left is accumulated to the end on the full sets; first
    the entry of largest overlap of every row, then only the entries
    whose rows are not connected yet.
-4. *Long columns* are left in the prefix only of rows that consist of them almost
-   wholly, such as large groups of near copies.  Each long column is multiplied by one
+4. *Long columns* are left in the prefix only of dense rows that consist of them almost
+   wholly.  Each long column is multiplied by one
    of its rows, its centre z (the row with the greatest share of long columns).  Rows
    linked with z are connected.  A row d not linked with z can only be linked
    with a row e of the column when both deviate from z in a common
@@ -55,6 +57,8 @@ from citeweave.session import cut_lineage, release, ship_package
 
 COLD = 16
 ROUNDS = 3
+#: rows of one or two numbers that may be broadcast; larger sides are shuffled
+SMALL = 500_000
 
 
 def _sets(batch: pa.RecordBatch, k: int):
@@ -66,15 +70,26 @@ def _sets(batch: pa.RecordBatch, k: int):
         yield part, found, pa.array(digests, pa.binary())
 
 
+def _width(n: int, percent: int) -> int:
+    """Length of the prefix of n columns."""
+    return n - -(-percent * n // 100) + 1 if n else 0
+
+
+def _spare(width: int) -> int:
+    """Columns kept beyond the prefix, in place of long ones."""
+    return width // 8 + 4
+
+
 def _prefixes(k: int, percent: int):
     """doc_id, text -> doc_id, n, digest and the first columns in hash order."""
     def run(batches):
         for batch in batches:
             for part, found, digests in _sets(batch, k):
-                width = [len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0 for s in found]
+                width = [_width(len(s), percent) for s in found]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), digests,
-                     pa.array([s[:w].view(np.int64) for s, w in zip(found, width)], pa.list_(pa.int64()))],
+                     pa.array([s[:w + _spare(w)].view(np.int64) for s, w in zip(found, width)],
+                              pa.list_(pa.int64()))],
                     names=["doc_id", "n", "digest", "head"])
     return run
 
@@ -89,19 +104,27 @@ def _whole_sets(k: int):
     return run
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it is small; ``df`` is read from a written table."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def _matrix_rows(rows: DataFrame) -> DataFrame:
     """(digest, n, head, doc, node): one row per distinct set.  ``node`` is its
     smallest doc_id, or a number below all usual ids where that is null or
     names several sets."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "head"))
     spare = F.lit(-(1 << 62)).cast("long") - F.shiftrightunsigned(F.xxhash64("digest"), 3)
-    made = cut_lineage(rows.where("n > 0").groupBy("digest", "n").agg(first.alias("m"))
-                       .select("digest", "n", F.col("m.head").alias("head"), F.col("m.doc_id").alias("doc")))
-    twice = made.groupBy("doc").agg(F.count("*").alias("c")).where("c > 1 AND doc IS NOT NULL").select("doc")
-    out = cut_lineage(made.join(twice.withColumn("again", F.lit(True)), "doc", "left")
-                      .withColumn("node", F.when(F.col("again") | F.col("doc").isNull(), spare)
-                                  .otherwise(F.col("doc"))).drop("again"))
-    release(made)
+    twice = cut_lineage(rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "digest").distinct()
+                        .groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
+                        .select(F.col("doc_id").alias("doc"), F.lit(True).alias("again")))
+    made = (rows.where("n > 0").groupBy("digest", "n").agg(first.alias("m"))
+            .select("digest", "n", F.col("m.head").alias("head"), F.col("m.doc_id").alias("doc"))
+            .join(_small(twice), "doc", "left")
+            .withColumn("node", F.when(F.col("again") | F.col("doc").isNull(), spare).otherwise(F.col("doc")))
+            .drop("again"))
+    out = cut_lineage(made)
+    release(twice)
     return out
 
 
@@ -140,8 +163,8 @@ class _Product:
         if self.fetched and wanted.isEmpty():
             release(wanted)
             return
-        texts = (self.docs.join(wanted.select("doc").distinct(), F.col("doc_id").eqNullSafe(F.col("doc")),
-                                "left_semi")
+        ids = _small(wanted.select("doc").distinct())
+        texts = (self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
                  .mapInArrow(_whole_sets(self.k), "digest binary, grams array<long>")
                  .dropDuplicates(["digest"]))
         self.fetched.append(cut_lineage(texts.join(wanted.select("digest", "node", "n"), "digest")
@@ -192,57 +215,81 @@ class _Product:
             self.connect(self.accumulate(rest))
         release(top, rest)
 
-    # --- the order of the columns
-
-    def entries_of(self, columns: DataFrame, slack: Column) -> DataFrame:
-        """(a, b, c): the product of columns (g, node, n, pos), without entries
-        that cannot reach their bound.  ``slack`` is overlap not counted here."""
-        left = columns.select("g", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("i"),
-                              slack.alias("s_a"))
-        right = columns.select("g", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("j"),
-                               slack.alias("s_b"))
-        more = F.least(F.col("n_a") - 1 - F.max("i"), F.col("n_b") - 1 - F.max("j")) + F.least("s_a", "s_b")
-        return (left.join(right, "g").where((F.col("a") < F.col("b")) & self.fits("n_a", "n_b"))
-                .groupBy("a", "b", "n_a", "n_b", "s_a", "s_b").agg(F.count("*").alias("c"), more.alias("more"))
-                .where(F.col("c") + F.col("more") >= self.least("n_a", "n_b")).select("a", "b", "c"))
-
-    def columns(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(g, node, n, pos) of the short and of the long columns in the prefixes, the
-        latter with ``share``, and the rows (node) that meet long columns."""
-        heads = self.rows.select("node", "n", F.posexplode("head").alias("pos", "g"))
-        lists = heads.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
-        heads = cut_lineage(heads.join(lists, "g"))
-        warm = cut_lineage(heads.where(F.col("c") > COLD).select("node").distinct())
-        # rows of short columns whose sets will be asked for anyhow: one pass over the texts
-        met = heads.join(heads.where(F.col("c") > COLD).groupBy("node").agg(F.count("*").alias("hot")), "node",
-                         "left")
-        likely = self.entries_of(met.where(F.col("c") <= COLD), F.coalesce("hot", F.lit(0)))
-        self.fetch(warm.unionByName(likely.select(F.explode(F.array("a", "b")).alias("node"))).distinct())
-        while True:
-            own = self.sets.join(warm, "node", "left_semi").select("node", F.explode("grams").alias("g"))
-            known = heads.where(F.col("c") > COLD).select("g", "c")
-            long = cut_lineage(own.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > COLD)
-                               .unionByName(known).groupBy("g").agg(F.max("c").alias("c")))
-            more = (heads.where(F.col("c") <= COLD).join(long.select("g"), "g", "left_semi").select("node").distinct()
-                    .join(warm, "node", "left_anti"))
-            added = cut_lineage(more)
-            if added.isEmpty():
-                break
-            self.fetch(added)
-            before, warm = warm, cut_lineage(warm.unionByName(added))
-            release(before, added, long)
-        ordered = (self.sets.join(warm, "node", "left_semi").select("node", F.explode("grams").alias("g"))
-                   .join(long, "g").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("h")))
-        hot = F.coalesce(F.col("h.g"), F.array().cast("array<long>"))
-        short = F.array_except("grams", hot)
-        width = F.col("n") - F.expr(f"({self.percent} * n + 99) div 100") + 1
-        turned = (self.sets.join(warm, "node", "left_semi").join(ordered, "node", "left")
-                  .select("node", "n", F.size(short).alias("short"), (F.size(hot) / F.col("n")).alias("share"),
-                          F.posexplode(F.slice(F.concat(short, hot), F.lit(1), width.cast("int"))).alias("pos", "g")))
-        turned = cut_lineage(turned)
-        cold = (heads.join(warm, "node", "left_anti").select("g", "node", "n", "pos")
-                .unionByName(turned.where("pos < short").select("g", "node", "n", "pos")))
-        return cold, turned.where("pos >= short").select("g", "node", "n", "share"), warm
+    # --- short columns
+
+    def entries_of(self, left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+        """(a, b, c): the product of columns (g, node, n, pos) with those of ``right``, or
+        with themselves, without entries that cannot reach their bound."""
+        side = lambda df, s: df.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos")])
+        wanted = self.fits("n_a", "n_b")
+        if right is None:
+            right, wanted = left, wanted & (F.col("node_a") < F.col("node_b"))
+        more = F.least(F.col("n_a") - 1 - F.max("pos_a"), F.col("n_b") - 1 - F.max("pos_b"))
+        return (side(left, "a").join(side(right, "b"), "g").where(wanted)
+                .groupBy("node_a", "node_b", "n_a", "n_b").agg(F.count("*").alias("c"), more.alias("more"))
+                .where(F.col("c") + F.col("more") >= self.least("n_a", "n_b"))
+                .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), "c"))
+
+    def width(self) -> Column:
+        """Length of the prefix of n columns."""
+        return F.col("n") - F.expr(f"({self.percent} * n + 99) div 100") + 1
+
+    def turned(self, nodes: DataFrame, long: DataFrame) -> DataFrame:
+        """(g, node, n, pos, short, share): the prefixes of ``nodes`` when the columns of
+        ``long`` (g, c) come last, by c; ``short`` is the number of others."""
+        sets = self.sets.join(nodes, "node", "left_semi")
+        hot = (sets.select("node", F.explode("grams").alias("g")).join(long, "g").groupBy("node")
+               .agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("h")))
+        last = F.coalesce(F.col("h.g"), F.array().cast("array<long>"))
+        first = (sets.join(hot, "node", "left").withColumn("last", last)
+                 .withColumn("first", F.array_except("grams", "last")))
+        # sizes are computed before the rows are multiplied
+        ready = first.select("node", "n", F.size("first").alias("short"), (F.size("last") / F.col("n")).alias("share"),
+                             F.slice(F.concat("first", "last"), F.lit(1), self.width().cast("int")).alias("head"))
+        return ready.select("node", "n", "short", "share", F.posexplode("head").alias("pos", "g"))
+
+    def product(self) -> tuple[DataFrame, DataFrame]:
+        """The entries (a, b, c) of the short columns, and the long columns (g, node, n,
+        share) of the dense rows."""
+        every = self.rows.select("node", "n", F.posexplode("head").alias("pos", "g"))
+        lists = every.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
+        shared = cut_lineage(every.join(lists, "g"))
+        long = cut_lineage(shared.where(F.col("c") > COLD).select("g", "c").distinct())
+        at = cut_lineage(shared.where(F.col("c") > COLD).groupBy("node", "n")
+                         .agg(F.collect_list("pos").alias("at")))
+        width = self.width()
+        spare = F.least(F.col("n") - width, F.expr("(n - (%d * n + 99) div 100 + 1) div 8 + 4" % self.percent))
+        dense = cut_lineage(at.where(F.size("at") > spare).select("node"))
+        # columns of the other rows move up by the long ones before them
+        light = at.join(dense, "node", "left_anti").select("node", "at")
+        before = F.size(F.filter(F.coalesce("at", F.array().cast("array<int>")), lambda x: x < F.col("pos")))
+
+        def placed(columns):
+            return (columns.join(dense, "node", "left_anti").join(light, "node", "left")
+                    .withColumn("pos", F.col("pos") - before).where(F.col("pos") < width)
+                    .select("g", "node", "n", "pos"))
+
+        found = self.entries_of(placed(shared.where(F.col("c") <= COLD)))
+        if dense.isEmpty():
+            entries = cut_lineage(found)
+            release(shared, long, at, dense)
+            return entries, self.none()
+        self.fetch(dense)
+        own = self.sets.join(dense, "node", "left_semi").select(F.explode("grams").alias("g"))
+        mixed = cut_lineage(self.turned(dense, long).where("pos < short").select("g", "node", "n", "pos"))
+        # a column of one light row alone may be in dense rows beyond what was counted
+        names = cut_lineage(mixed.select("g").distinct())
+        met = placed(every.join(_small(names), "g"))
+        own_long = cut_lineage(own.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > COLD))
+        heads = cut_lineage(self.turned(dense, own_long))
+        entries = cut_lineage(found.unionByName(self.entries_of(met, mixed))
+                              .unionByName(self.entries_of(heads.where("pos < short"))))
+        long_heads = cut_lineage(heads.where("pos >= short").select("g", "node", "n", "share"))
+        release(shared, long, at, dense, mixed, names, own_long, heads)
+        return entries, long_heads
+
+    def none(self) -> DataFrame:
+        return self.rows.sparkSession.createDataFrame([], "g long, node long, n long, share double")
 
     # --- long columns
 
@@ -352,27 +399,30 @@ def ngram_join(documents: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     if not 50 < percent <= 100:
         raise ValueError("percent is above 50 and at most 100")
     ship_package(documents.sparkSession)
-    rows = cut_lineage(documents.select("doc_id", "text").mapInArrow(
+    wide = cut_lineage(documents.select("doc_id", "text").mapInArrow(
         _prefixes(shingle, percent), "doc_id long, n long, digest binary, head array<long>"))
-    matrix = _matrix_rows(rows)
+    matrix = _matrix_rows(wide)
+    rows = cut_lineage(wide.drop("head"))
+    release(wide)
     product = _Product(documents, matrix, shingle, percent)
-    cold, long, warm = product.columns()
-    entries = cut_lineage(product.entries_of(cold, F.lit(0)))
+    entries, long = product.product()
+    # the columns are not read again
+    product.rows = cut_lineage(matrix.drop("head"))
+    release(matrix)
     # a list is split by size classes just over a link's width apart; a row is in its
     # own class and the next, so that rows of sizes that fit meet in one of them
     own = F.floor(F.log("n") / math.log(100.1 / percent))
-    long = cut_lineage(long.withColumn("class", F.explode(F.array(own, own + 1)))
-                       .withColumn("g", F.xxhash64("g", "class")).drop("class"))
-    star = product.centred(long)
+    classed = long.withColumn("class", F.explode(F.array(own, own + 1)))
+    star = product.centred(classed.withColumn("g", F.xxhash64("g", "class")))
     product.best_first(entries, also=product.rays(star))
     product.by_centres(star)
-    release(entries, warm, long)
+    release(entries, long)
 
-    member = matrix.join(product.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    member = product.rows.join(product.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = member.groupBy("root").agg(F.min("doc").alias("component_id"))
     group = cut_lineage(member.join(lowest, "root").select("digest", "component_id"))
-    release(*product.fetched, product.links, product.roots, matrix)
+    release(*product.fetched, product.links, product.roots, product.rows)
     # a digest with many rows is hot on the rows' side only
-    out = rows.select("doc_id", "n", "digest").join(group, "digest", "left")
+    out = rows.join(group, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
