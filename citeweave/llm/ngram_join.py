@@ -56,6 +56,8 @@ from citeweave.llm.words import Words, slices
 from citeweave.session import cut_lineage, release, ship_package
 
 COLD = 16
+#: the same for columns of deviations, whose entries are cheap to follow up
+DEVIANT = 128
 ROUNDS = 3
 #: rows of one or two numbers that may be broadcast; larger sides are shuffled
 SMALL = 500_000
@@ -361,31 +363,37 @@ class _Product:
         kinds = F.filter(F.array(F.when(~F.col("linked") & by_half, 0),
                                  F.when(F.when(F.col("linked"), by_half).otherwise(by_far), 1)),
                          lambda x: x.isNotNull())
-        share = F.avg((F.col("c") > COLD).cast("double")).over(Window.partitionBy("z", "node"))
+        share = F.avg((F.col("c") > DEVIANT).cast("double")).over(Window.partitionBy("z", "node"))
         head = (rows.join(lists, "g").withColumn("pos", F.row_number().over(order)).where("c > 1")
                 .withColumn("kind", F.explode(kinds)).withColumn("share", share)
-                .select(F.xxhash64("g", "kind").alias("g"), "kind", "node", "n", "d", "linked", "share"))
+                .select(F.xxhash64("g", "kind").alias("g"), "z", "kind", "node", "n", "d", "linked", "share"))
         head = cut_lineage(self.with_root(head, "node", "root"))
         alive = (head.groupBy("g").agg(F.count("*").alias("len"), F.min("root").alias("r0"), F.max("root").alias("r1"),
                                        F.min("kind").alias("kind"), F.count_if("linked").alias("near"))
                  .where("r0 <> r1 AND (kind = 0 OR (near > 0 AND near < len))").select("g", "len"))
         alive = cut_lineage(head.join(alive, "g"))
-        side = lambda s: alive.where(F.col("len") <= COLD).select(
-            "g", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "d", "linked", "kind", "root")])
+        side = lambda s: alive.where(F.col("len") <= DEVIANT).select(
+            "g", "z", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "d", "linked", "kind", "root")])
         meets = ~F.col("linked_a") & (F.col("linked_b") | ((F.col("kind_a") == 0) & (F.col("node_a") < F.col("node_b"))))
-        close = F.abs(F.col("d_a") - F.col("d_b")) * (100 + p) <= (F.col("n_a") + F.col("n_b")) * (100 - p)
-        entries = cut_lineage(
-            side("a").join(side("b"), "g")
-            .where(meets & close & (F.col("root_a") != F.col("root_b")) & self.fits("n_a", "n_b"))
-            .groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-            .agg(F.count("*").alias("c")))
-        if not entries.isEmpty():
-            self.best_first(entries)
-        long = self.with_root(alive.where(F.col("len") > COLD).drop("root"), "node", "root")
+        most = (F.col("n_a") + F.col("n_b")) * (100 - p)
+        close = F.abs(F.col("d_a") - F.col("d_b")) * (100 + p) <= most
+        pair = ["z", "node_a", "node_b", "n_a", "n_b", "d_a", "d_b"]
+        met = (side("a").join(side("b").drop("z"), "g")
+               .where(meets & close & (F.col("root_a") != F.col("root_b")) & self.fits("n_a", "n_b"))
+               .select(*pair).distinct())
+        # |a - b| by the deviations that two rows of the centre may have in common
+        held = lambda s: (rows.join(lists.where("c > 1"), "g").groupBy("z", F.col("node").alias(f"node_{s}"))
+                          .agg(F.collect_list("g").alias(f"dev_{s}")))
+        both = F.size(F.array_intersect("dev_a", "dev_b"))
+        found = (met.join(held("a"), ["z", "node_a"]).join(held("b"), ["z", "node_b"])
+                 .where((F.col("d_a") + F.col("d_b") - 2 * both) * (100 + p) <= most)
+                 .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
+        self.connect(cut_lineage(found.distinct()))
+        long = self.with_root(alive.where(F.col("len") > DEVIANT).drop("root"), "node", "root")
         still = (long.groupBy("g").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
                  .where("r0 <> r1").select("g"))
         out = cut_lineage(long.join(still, "g", "left_semi").select("g", "node", "n", "share"))
-        release(rows, head, alive, entries)
+        release(rows, head, alive)
         return out
 
 

@@ -94,6 +94,7 @@ def copies():
 def test_join_equals_all_pairs(spark, copies, monkeypatch, cold, rounds):
     from citeweave.llm import ngram_join
     monkeypatch.setattr(ngram_join, "COLD", cold)
+    monkeypatch.setattr(ngram_join, "DEVIANT", cold)
     monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     assert joined(frame(spark, copies)) == linked_groups(copies, 5, 80)
 
