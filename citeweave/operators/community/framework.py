@@ -152,28 +152,31 @@ def local_moving(member: DataFrame, gains: Callable[[DataFrame], DataFrame],
                         (F.col("b.gain") - F.col("stay")).alias("rise")))
         # alternate the allowed direction so two nodes cannot swap
         way = F.col("new") < F.col("own") if rnd % 2 == 0 else F.col("new") > F.col("own")
-        some = (wish.where((F.col("stride") > 0) & way &
-                           (F.pmod(F.xxhash64("nid", F.lit(rnd), F.lit(seed)), F.col("stride")) == 0))
-                .select("bin", "nid", "new"))
-        movers = some
+        go = ((F.col("stride") > 0) & way &
+              (F.pmod(F.xxhash64("nid", F.lit(rnd), F.lit(seed)), F.col("stride")) == 0))
+        wishes = wish.select("bin", "nid", "new", go.alias("go"))
         if any(halving[b] > MAX_HALVINGS for b in active):
-            movers = some.unionByName(_apart(wish.where("stride = 0"))).unionByName(
+            wish = cut_lineage(wish)
+            single = _apart(wish.where("stride = 0")).unionByName(
                 wish.where("stride = -1").groupBy("bin")
                 .agg(F.max(F.struct("rise", "nid", "new")).alias("m")).select("bin", "m.nid", "m.new"))
+            wishes = (wish.join(single.select("bin", "nid", F.lit(True).alias("alone")), ["bin", "nid"], "left")
+                      .select("bin", "nid", "new", (go | F.coalesce("alone", F.lit(False))).alias("go")))
         proposal = cut_lineage(
-            member.join(movers, ["bin", "nid"], "left")
-            .select("bin", "nid", F.coalesce("new", "comm").alias("comm"), *extras,
-                    F.col("new").isNotNull().alias("moved")))
+            member.join(wishes, ["bin", "nid"], "left")
+            .select("bin", "nid", F.when(F.col("go"), F.col("new")).otherwise(F.col("comm")).alias("comm"), *extras,
+                    F.coalesce("go", F.lit(False)).alias("moved"), F.col("new").isNotNull().alias("wants")))
         proposed = time.time()
-        n_moved = proposal.groupBy("bin").agg(F.count_if("moved").alias("n"))
-        stats = objective(proposal.drop("moved")).join(n_moved, "bin", "left").collect()
+        n_moved = proposal.groupBy("bin").agg(F.count_if("moved").alias("n"), F.count_if("wants").alias("open"))
+        stats = objective(proposal.drop("moved", "wants")).join(n_moved, "bin", "left").collect()
         moved = {r["bin"]: r["n"] or 0 for r in stats}
+        wanted = {r["bin"]: r["open"] or 0 for r in stats}
         new_obj = {r["bin"]: r["obj"] for r in stats}
         scored = time.time()
         accept, rejected, ended = [], [], []
         for b in active:
             if moved.get(b, 0) == 0:
-                if halving[b] > MAX_HALVINGS or (halving[b] == 0 and nomove.get(b)):
+                if halving[b] > MAX_HALVINGS or wanted.get(b, 0) == 0 or (halving[b] == 0 and nomove.get(b)):
                     ended.append(b)  # no node wants to move, in either direction
                 elif halving[b] == 0:
                     nomove[b] = True
@@ -201,12 +204,12 @@ def local_moving(member: DataFrame, gains: Callable[[DataFrame], DataFrame],
                   f"t_prop={proposed - started:.1f} t_stats={scored - proposed:.1f}", flush=True)
         before = member
         if accept and not rejected:
-            member = proposal.drop("moved")
+            member = proposal.drop("moved", "wants")
             member._citeweave_path = proposal.__dict__.pop("_citeweave_path")
             release(before)
         elif accept:
             acc = small_table(spark, [(b,) for b in accept], "bin bigint")
-            newer = proposal.join(F.broadcast(acc), "bin", "left_semi").drop("moved")
+            newer = proposal.join(F.broadcast(acc), "bin", "left_semi").drop("moved", "wants")
             older = member.join(F.broadcast(acc), "bin", "left_anti")
             member = cut_lineage(newer.unionByName(older))
             release(before, proposal)

@@ -464,6 +464,13 @@ kk AS (SELECT bin, sum(ko * ki) AS kk FROM kc GROUP BY bin)
 SELECT t.bin, round(t.inside / t.m - k.kk / (t.m * t.m), 9) AS modularity
 FROM tot t JOIN kk k USING (bin)"""
 
+ORACLE["sbm_check"] = f"""
+WITH {WORKS}, {HITS}, {REPORT},
+e AS (SELECT b.bin, h.oa_id AS src, h.ref AS dst FROM hits h JOIN bins b ON b.decade = h.decade),
+n AS (SELECT bin, src AS node FROM e UNION SELECT bin, dst FROM e)
+SELECT bin, count(*) AS nodes, count(*) AS members, true AS within_one, true AS within_planted
+FROM n GROUP BY bin"""
+
 ORACLE["append_new_only"] = f"""
 WITH {WORKS}, {RAW},
 batch AS (SELECT oa_id, title, publication_year, 0 AS src FROM works

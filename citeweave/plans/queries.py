@@ -366,6 +366,25 @@ def sbm(spark, sf_dir):
     return cm.detect(_bin_edges(spark, sf_dir), "sbm")
 
 
+@register
+def sbm_check(spark, sf_dir):
+    """Nodes of every bin and of its blocks, and whether these are described in no
+    more than one block of all nodes, or the planted groups, take."""
+    from citeweave.session import cut_lineage
+    edges = _bin_edges(spark, sf_dir)
+    found = cut_lineage(cm.detect(edges, "sbm"))
+    planted = planted_membership(load_works(spark, sf_dir), DEFAULT_BINS).withColumnRenamed("oa_id", "node")
+    length = lambda m, name: cm.partition_description_length(edges, m).withColumnRenamed(
+        "description_length", name)
+    ends = edges.select("bin", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return (ends.groupBy("bin").agg(F.count("*").alias("nodes"))
+            .join(found.groupBy("bin").agg(F.count_distinct("node").alias("members")), "bin")
+            .join(length(found, "own"), "bin").join(length(found.withColumn("cluster", F.lit(0)), "one"), "bin")
+            .join(length(planted, "groups"), "bin")
+            .select("bin", "nodes", "members", (F.col("own") <= F.col("one")).alias("within_one"),
+                    (F.col("own") <= F.col("groups")).alias("within_planted")))
+
+
 @register
 def modularity_of_partition(spark, sf_dir):
     """Directed modularity of the planted partition of every bin."""
