@@ -311,6 +311,7 @@ def trigram_phrases(spark, sf_dir):
     return tables[1]
 
 from citeweave.operators import vectors as vx  # noqa: E402
+from citeweave.operators import word_vectors as wv  # noqa: E402
 
 
 @register
@@ -324,11 +325,10 @@ def vector_topk(spark, sf_dir):
 
 @register
 def word2vec(spark, sf_dir):
-    """M4: skip-gram vectors (300 dims, window 5, min count 10, 10 epochs,
-    subsampling 1e-4) on the trigram-phrased corpus; the vector table."""
+    """M4: skip-gram vectors (300 dims, window 5, min count 10, 10 negative words,
+    10 epochs, subsampling 1e-4) on the trigram-phrased corpus; the vector table."""
     corpus, _ = ph.phrase_corpus(_tokens(spark, sf_dir), passes=2)
-    model = vx.train_word2vec(corpus)
-    return vx.word_vectors(model)
+    return wv.train_word_vectors(corpus)
 
 
 # --- community detection ----------------------------------------------------------
@@ -534,7 +534,7 @@ def nearest_words(spark, sf_dir):
     a query word missing from the vocabulary is reported with no neighbour."""
     from citeweave.session import cut_lineage
     corpus, _ = ph.phrase_corpus(_tokens(spark, sf_dir), passes=2)
-    vectors = cut_lineage(vx.word_vectors(vx.train_word2vec(corpus)))
+    vectors = cut_lineage(wv.train_word_vectors(corpus))
     phrase_tokens = (corpus.select(F.explode("tokens").alias("word"))
                      .where(F.col("word").contains("_")))
     top = gr.top_values(phrase_tokens, "word", 4).select(F.col("value").alias("word"))
