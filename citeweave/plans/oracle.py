@@ -369,6 +369,10 @@ SELECT CAST(bin AS VARCHAR) || '-' || CAST(cluster AS VARCHAR) AS src,
        CAST(dst_bin AS VARCHAR) || '-' || CAST(dst_cluster AS VARCHAR) AS dst,
        weight, round(100 * weight, 9) AS width
 FROM weights"""
+# read back from the saved document
+ORACLE["report_layout"] = ORACLE["layout"]
+ORACLE["report_evolution_edges"] = ORACLE["evolution_edges"]
+ORACLE["report_distributions"] = f"SELECT bin, cluster, kind, value, share FROM ({ORACLE['distributions']})"
 ORACLE["bin_network"] = f"""WITH {WORKS}, {REPORT}
 SELECT b.bin, w.oa_id AS id, coalesce(w.topic, '') AS topic, coalesce(w.field, '') AS field,
        coalesce(w."domain", '') AS "domain", CAST(coalesce(m.cluster, -1) AS BIGINT) AS cluster

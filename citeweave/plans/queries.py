@@ -493,6 +493,36 @@ def cluster_report_document(spark, sf_dir):
                                   rep["self_share"])
 
 
+def _saved_report(spark, sf_dir):
+    """The path of the cluster report, written as one document."""
+    import uuid
+    from citeweave.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/citeweave-reports/{uuid.uuid4().hex}"
+    sk.write_cluster_report(cluster_report_document(spark, sf_dir), path)
+    return path
+
+
+@register
+def report_distributions(spark, sf_dir):
+    """The distributions of a saved report, read back from its document."""
+    from citeweave.sources.reports import read_report, report_tables
+    return report_tables(read_report(spark, _saved_report(spark, sf_dir)))["distributions"]
+
+
+@register
+def report_layout(spark, sf_dir):
+    """S8 + G11: evolution-graph layout from a saved report."""
+    from citeweave.plans.report import evolution_from_report
+    return evolution_from_report(spark, _saved_report(spark, sf_dir))["layout"]
+
+
+@register
+def report_evolution_edges(spark, sf_dir):
+    """S8 + G11: evolution-graph edges from a saved report."""
+    from citeweave.plans.report import evolution_from_report
+    return evolution_from_report(spark, _saved_report(spark, sf_dir))["evolution_edges"]
+
+
 @register
 def decade_scan_sql(spark, sf_dir):
     """S2 + S10: the works table staged as a view and scanned by SQL with

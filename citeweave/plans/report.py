@@ -17,6 +17,7 @@ from citeweave.operators import evolution as ev
 from citeweave.operators.community import detect
 from citeweave.schema import CLUSTER_SIZE_CUTOFF, DEFAULT_BINS, TOP_N_CLUSTERS
 from citeweave.session import cut_lineage
+from citeweave.sources.reports import read_report, report_tables
 
 
 def bin_edges(works_with_refs: DataFrame, bins: DataFrame) -> DataFrame:
@@ -49,3 +50,13 @@ def cluster_report_by_bins(works: DataFrame, bins: list[list[int]] = DEFAULT_BIN
         report["network_nodes"] = cl.bin_network(with_refs, b, report["members"])
         report["network_edges"] = cl.bin_network_edges(with_refs, b)
     return report
+
+
+def evolution_from_report(spark, path: str) -> dict[str, DataFrame]:
+    """G11 from a saved report: ``layout`` and ``evolution_edges`` of the documents at
+    ``path``, as the clustering job gives them from its own tables."""
+    tables = report_tables(cut_lineage(read_report(spark, path)))
+    dominant = cl.dominant_field(tables["distributions"])
+    ranks = ev.field_ranks(tables["distributions"])
+    return {"layout": ev.layout(tables["clusters"], dominant, ranks),
+            "evolution_edges": ev.evolution_edges(tables["links"])}
