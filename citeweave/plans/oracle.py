@@ -468,6 +468,12 @@ kk AS (SELECT bin, sum(ko * ki) AS kk FROM kc GROUP BY bin)
 SELECT t.bin, round(t.inside / t.m - k.kk / (t.m * t.m), 9) AS modularity
 FROM tot t JOIN kk k USING (bin)"""
 
+ORACLE["phrase_index_search"] = f"""
+WITH {WORKS},
+p AS (SELECT DISTINCT lower(substr(title, 1, 9)) AS phrase FROM (SELECT title FROM works ORDER BY oa_id LIMIT 10))
+SELECT p.phrase, w.oa_id FROM works w JOIN p
+  ON contains(lower(coalesce(w.title, '')), p.phrase) OR contains(lower(coalesce(w.abstract, '')), p.phrase)"""
+
 ORACLE["sbm_check"] = f"""
 WITH {WORKS}, {HITS}, {REPORT},
 e AS (SELECT b.bin, h.oa_id AS src, h.ref AS dst FROM hits h JOIN bins b ON b.decade = h.decade),

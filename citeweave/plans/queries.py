@@ -175,6 +175,20 @@ def seed_search(spark, sf_dir):
     return _seeds(spark, sf_dir)[1].select(*_GROWTH_COLS)
 
 
+@register
+def phrase_index_search(spark, sf_dir):
+    """P7 by index: works whose title or abstract holds one of ten phrases, the beginnings
+    of the ten first works' titles."""
+    import uuid
+    from citeweave.operators import phrase_index as pi
+    from citeweave.session import ensure_checkpoint_dir
+    works = load_works(spark, sf_dir).select("oa_id", "title", "abstract")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/citeweave-index/{uuid.uuid4().hex}"
+    pi.write_index(works, path, parts=16)
+    phrases = works.orderBy("oa_id").limit(10).select(F.substring("title", 1, 9).alias("phrase"))
+    return pi.search(spark, path, phrases, parts=16)
+
+
 @register
 def citing_semijoin(spark, sf_dir):
     """Works citing any seed, passing the hop thresholds."""
