@@ -32,7 +32,7 @@ def decade_col(year: str | Column) -> Column:
 def check_decade(decade_start: int) -> int:
     """Reject a decade start that is not a multiple of ten."""
     if int(decade_start) % 10 != 0:
-        raise ValueError("decade_start must be a multiple of 10.")
+        raise ValueError(f"{decade_start} is not the first year of a decade")
     return int(decade_start)
 
 

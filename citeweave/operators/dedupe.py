@@ -26,9 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions.normalize import normalize_doi, normalize_title
-from citeweave.session import cut_lineage
-
-MAX_ROUNDS = 10_000
+from citeweave.session import cut_lineage, release
 
 
 def dedupe_keys(doi: str = "doi", oid: str = "oa_id", title: str = "title") -> list[tuple[str, Column]]:
@@ -80,12 +78,12 @@ def greedy_dedupe(works: DataFrame, order_by: list[str],
     undecided = cut_lineage(exploded.join(conflicted, "_seq", "left_semi"))
     kept_parts = [free]
     per_work = Window.partitionBy("_seq")   # at most one row per key kind
-    for _ in range(MAX_ROUNDS):
-        if undecided.isEmpty():
-            break
+    # the first undecided work holds all its keys first, so every round settles one at least
+    while not undecided.isEmpty():
         first = undecided.groupBy("kind", "value").agg(F.min("_seq").alias("_first"))
-        marked = (undecided.join(first, ["kind", "value"])
-                  .withColumn("_win", F.bool_and(F.col("_seq") == F.col("_first")).over(per_work)))
+        marked = cut_lineage(
+            undecided.join(first, ["kind", "value"])
+            .withColumn("_win", F.bool_and(F.col("_seq") == F.col("_first")).over(per_work)))
         claimed = (marked.where(F.col("_win") & (F.col("_seq") == F.col("_first")))
                    .select("kind", "value", F.lit(True).alias("_claimed")))
         # one table per round: every key row with its work's fate
@@ -96,10 +94,9 @@ def greedy_dedupe(works: DataFrame, order_by: list[str],
                     F.when(F.col("_win"), F.lit("kept"))
                      .when(F.col("_lost"), F.lit("lost"))
                      .otherwise(F.lit("open")).alias("_state")))
+        release(marked)
         kept_parts.append(state.where(F.col("_state") == "kept").select("_seq").distinct())
         undecided = state.where(F.col("_state") == "open").drop("_state")
-    else:
-        raise RuntimeError("dedupe did not converge")
 
     kept = kept_parts[0]
     for part in kept_parts[1:]:

@@ -50,7 +50,7 @@ def citation_edges(spark, sf_dir):
 @register
 def decade_scan(spark, sf_dir):
     """The 1970s with their in-decade references, year and references."""
-    works = dec.with_in_decade_references(load_works(spark, sf_dir))
+    works = dec.with_in_decade_references(load_works(spark, sf_dir), [1970])
     return dec.fetch_per_decade_data(works, 1970, ["publication_year", "referenced_works"])
 
 

@@ -59,29 +59,6 @@ RAW_WORK = T.StructType([
     ]), True),
 ])
 
-# Cluster report as written at the JSON boundary: bin -> cluster -> record.
-CLUSTER_RECORD = T.StructType([
-    T.StructField("elements", T.LongType(), True),
-    T.StructField("field_distribution", T.MapType(T.StringType(), T.DoubleType()), True),
-    T.StructField("domain_distribution", T.MapType(T.StringType(), T.DoubleType()), True),
-    T.StructField("topic_distribution", T.MapType(T.StringType(), T.DoubleType()), True),
-    T.StructField("intracluster_links", T.MapType(T.StringType(), T.DoubleType()), True),
-    T.StructField("intracluster_link_ratio", T.DoubleType(), True),
-])
-CLUSTER_REPORT = T.MapType(T.StringType(), T.MapType(T.StringType(), CLUSTER_RECORD))
-
-NETWORK_NODE = T.StructType([
-    T.StructField("id", T.StringType(), True),
-    T.StructField("topic", T.StringType(), True),
-    T.StructField("field", T.StringType(), True),
-    T.StructField("domain", T.StringType(), True),
-    T.StructField("cluster", T.LongType(), True),
-])
-NETWORK_REPORT = T.MapType(T.StringType(), T.StructType([
-    T.StructField("nodes", T.ArrayType(NETWORK_NODE), True),
-    T.StructField("edges", T.ArrayType(T.ArrayType(T.StringType())), True),
-]))
-
 # Type names accepted in ``{column: type}`` table declarations (catalog K1).
 SQL_TYPES = {
     "TEXT": T.StringType(), "STRING": T.StringType(), "VARCHAR": T.StringType(),
