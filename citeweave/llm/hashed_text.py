@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from citeweave.llm.frames import quoted, schema_with
 from citeweave.llm.words import LOWER, Words, mix, slices, span_hash, text_bytes
-from citeweave.session import ship_package
+from citeweave.session import cut_lineage, release, ship_package
 
 WORD_SLOTS = 1 << 18
 EDGE_SLOTS = 1 << 12
@@ -105,12 +105,44 @@ def descend(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, ste
     return w
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, names: list[str], rows: int):
-    """Features and labels of at most ``rows`` labelled documents, those of least
-    hash of doc_id: (Rows, array of labels with nan for null, doc_ids).
+def related_slots(table: DataFrame, names: list[str], folds: int, least_z: float = 4.0,
+                  least_rows: int = 4) -> np.ndarray:
+    """The slots that ``Rows.related`` keeps for any of the labels ``names`` on all
+    rows of ``table`` (fold, labels, slots, vals) or on all but one fold's.
 
-    A doc_id labelled more than once takes its largest labels; one that repeats
-    in ``documents`` counts once per row, and ``rows`` bounds these too.
+    One aggregate of sums per slot; at most ``SLOTS`` slot numbers reach the driver.
+    """
+    def sums(v) -> list:
+        return [F.sum(F.when((F.col("fold") == f) & F.col(n).isNotNull(), x)).alias(f"{n}_{f}_{s}")
+                for n in names for f in range(folds) for s, x in v(n).items()]
+    each = table.select("fold", *names, F.lit(1.0).alias("one"))
+    total = each.agg(*sums(lambda n: {"n": F.col("one"), "y": F.col(n), "yy": F.col(n) ** 2})).first()
+    slot = (table.select("fold", *names, F.explode(F.arrays_zip("slots", "vals")).alias("e"))
+            .select("fold", *names, F.col("e.slots").alias("slot"), F.col("e.vals").cast("double").alias("v"))
+            .groupBy("slot").agg(*sums(lambda n: {"n": F.lit(1.0), "v": F.col("v"), "vv": F.col("v") ** 2,
+                                                  "vy": F.col("v") * F.col(n)})))
+    kept = F.lit(False)
+    for n in names:
+        for left_out in {None, *range(folds)} if folds > 1 else {None}:
+            used = [f for f in range(folds) if f != left_out]
+            rows, y, yy = (sum(total[f"{n}_{f}_{s}"] or 0.0 for f in used) for s in ("n", "y", "yy"))
+            if not rows:
+                continue
+            seen, v, vv, vy = (sum((F.coalesce(f"{n}_{f}_{s}", F.lit(0.0)) for f in used), F.lit(0.0))
+                               for s in ("n", "v", "vv", "vy"))
+            z = least_z * (1 - 1e-6) * F.sqrt(vv * max(yy / rows - (y / rows) ** 2, 0.0))  # a hair below, for rounding
+            kept = kept | ((seen >= least_rows) & (F.abs(vy - v * (y / rows)) >= z))
+    return np.sort(slot.where(kept).select("slot").toArrow().column("slot").to_numpy())
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, names: list[str], rows: int, folds: int = 1):
+    """Features, labels and folds of at most ``rows`` labelled documents, those of least
+    hash of doc_id: (Rows, array of labels with nan for null, doc_ids, folds).
+
+    The features are computed on whole texts and kept in a table; the driver gets those
+    in ``related_slots`` only, so what it holds is bounded by ``rows`` times these, however
+    long the texts.  The fold is a hash of doc_id.  A doc_id labelled more than once takes
+    its largest labels; one that repeats in ``documents`` counts once, by its text of least hash.
     """
     spark = documents.sparkSession
     ship_package(spark)
@@ -118,29 +150,52 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, names: list[str], r
               .agg(*[F.max(F.col(n).cast("double")).alias(f"_y{i}") for i, n in enumerate(names)])
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     ys = [f"_y{i}" for i in range(len(names))]
+    lists = "slots array<int>, vals array<float>"
+
+    def as_lists(offs: np.ndarray, slots: np.ndarray, values: np.ndarray) -> list[pa.Array]:
+        offs = pa.array(offs.astype(np.int32))
+        return [pa.ListArray.from_arrays(offs, pa.array(slots.astype(np.int32))),
+                pa.ListArray.from_arrays(offs, pa.array(values.astype(np.float32)))]
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in slices(batch):
-                offs, slots, values = features(*text_bytes(part.column("text")))
-                offs = pa.array(offs.astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *[part.column(y) for y in ys],
-                     pa.ListArray.from_arrays(offs, pa.array(slots.astype(np.int32))),
-                     pa.ListArray.from_arrays(offs, pa.array(values.astype(np.float32)))],
-                    names=["doc_id", *ys, "slots", "vals"])
-    schema = "doc_id long, " + ", ".join(f"{y} double" for y in ys) + ", slots array<int>, vals array<float>"
-    got = (documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # ``rows`` rows
-           .limit(rows).mapInArrow(run, schema).toArrow())
+                got = features(*text_bytes(part.column("text")))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "text_hash", *ys)], *as_lists(*got)],
+                                                 names=["doc_id", "text_hash", *ys, "slots", "vals"])
+
+    texts = (documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+             .join(F.broadcast(chosen), "doc_id"))  # ``rows`` rows
+    y_schema = ", ".join(f"{y} double" for y in ys)
+    table = cut_lineage(
+        texts.mapInArrow(run, f"doc_id long, text_hash long, {y_schema}, {lists}")
+        .groupBy("doc_id").agg(F.min_by(F.struct(*ys, "slots", "vals"), "text_hash").alias("r")).select("doc_id", "r.*")
+        .withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)).cast("int")))
+    wanted = np.zeros(SLOTS, dtype=bool)
+    wanted[related_slots(table, ys, folds)] = True
+    shared = spark.sparkContext.broadcast(wanted)  # SLOTS bytes
+
+    def pick(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            slots, values = batch.column("slots"), batch.column("vals").flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), slots.value_lengths().to_numpy())
+            slots = slots.flatten().to_numpy()
+            keep = shared.value[slots]
+            offs = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=batch.num_rows))])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "fold", *ys)],
+                                              *as_lists(offs, slots[keep], values[keep])],
+                                             names=["doc_id", "fold", *ys, "slots", "vals"])
+    got = (table.select("doc_id", "fold", *ys, "slots", "vals")
+           .mapInArrow(pick, f"doc_id long, fold int, {y_schema}, {lists}").toArrow())
+    release(table)
     got = got.sort_by("doc_id").combine_chunks()
     if got.num_rows == 0:
-        return Rows(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.zeros((0, len(names))), []
-    lists = got.column("slots").combine_chunks()
-    size = lists.value_lengths().to_numpy()
-    x = Rows(np.concatenate([[0], np.cumsum(size)]), lists.flatten().to_numpy().astype(np.int64),
+        return Rows(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0)), np.zeros((0, len(names))), [], np.zeros(0, int)
+    slots = got.column("slots").combine_chunks()
+    x = Rows(np.concatenate([[0], np.cumsum(slots.value_lengths().to_numpy())]), slots.flatten().to_numpy(),
              got.column("vals").combine_chunks().flatten().to_numpy().astype(np.float64))
     y = np.stack([got.column(c).to_numpy().astype(np.float64) for c in ys], axis=1)
-    return x, y, got.column("doc_id").to_pylist()
+    return x, y, got.column("doc_id").to_pylist(), got.column("fold").to_numpy()
 
 
 def scored(documents: DataFrame, score: Callable[[Rows], dict[str, np.ndarray]], names: list[str],

@@ -78,7 +78,7 @@ def rated(labels: DataFrame) -> DataFrame:
 
 def quality(documents: DataFrame, ratings: DataFrame, top: int = 2, sample: int = SAMPLE) -> DataFrame:
     """doc_id, expected_grade, p_grade_1 .. p_grade_top (tail probabilities), kept."""
-    x, y, _ = labelled_sample(documents, ratings, ["grade"], sample)
+    x, y, _, _ = labelled_sample(documents, ratings, ["grade"], sample)
     usable = np.flatnonzero(~np.isnan(y[:, 0]))
     model = Ordinal.fit(x.take(usable), y[usable, 0], top)
     shared = documents.sparkSession.sparkContext.broadcast(model)  # SLOTS numbers

@@ -6,7 +6,7 @@ are out-of-fold: a row's earlier probabilities come from models that did not see
 row, so later models learn from predictions as good as those met in use.
 
 The models are fitted on at most ``SAMPLE`` labelled documents (those of least hash
-of doc_id); every document is scored on its whole text.
+of doc_id), and on the slots related to a label, which Spark finds; every document is scored on its whole text.
 
 Rows: a null text has no features and gets the models' base rates; rows with a
 null label are left out for that category only; without any usable label a
@@ -55,11 +55,12 @@ class Linear:
         return sigmoid(x.dot(self.weights) + before @ self.earlier + self.bias)
 
 
-def fit_chain(x: Rows, labels: np.ndarray, folds: int = FOLDS) -> tuple[list[Linear], np.ndarray]:
+def fit_chain(x: Rows, labels: np.ndarray, fold: np.ndarray,
+              folds: int = FOLDS) -> tuple[list[Linear], np.ndarray]:
     """The chain's models and the out-of-fold probabilities, one column per
-    category.  Row i is in fold i mod ``folds``."""
+    category.  ``fold`` has every row's fold, 0 to ``folds`` - 1."""
     n, k = labels.shape
-    fold, out, models = np.arange(n) % folds, np.zeros((n, k)), []
+    out, models = np.zeros((n, k)), []
     for c in range(k):
         usable = ~np.isnan(labels[:, c])
         for f in range(folds):
@@ -81,8 +82,8 @@ def chain_probabilities(models: list[Linear], x: Rows) -> np.ndarray:
 def trained(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Linear]:
     """The chain of ``CHAIN`` from labels (doc_id, quality, toxic)."""
     graded = labels.selectExpr("doc_id", "1 - quality AS low_quality", "toxic")
-    x, y, _ = labelled_sample(documents, graded, list(CHAIN), sample)
-    return fit_chain(x, y)[0]
+    x, y, _, fold = labelled_sample(documents, graded, list(CHAIN), sample, FOLDS)
+    return fit_chain(x, y, fold)[0]
 
 
 def _scorer(documents: DataFrame, models: list[Linear]):
