@@ -121,11 +121,13 @@ def with_own(links: DataFrame, member: DataFrame) -> DataFrame:
 
 def local_moving(member: DataFrame, gains: Callable[[DataFrame], DataFrame],
                  objective: Callable[[DataFrame], DataFrame], seed: int = 0,
-                 log: list | None = None) -> DataFrame:
+                 log: list | None = None, hold_targets: bool = False) -> DataFrame:
     """Run rounds until every bin has converged; returns the membership.
 
     ``gains(member)`` yields (bin, nid, comm, own, gain) with gain 0 for
-    staying; ``objective(member)`` yields (bin, obj), higher is better.
+    staying; ``objective(member)`` yields (bin, obj), higher is better.  A column
+    ``score`` beside the gain decides which candidate a node picks instead of the gain.
+    With ``hold_targets`` no node moves into a community that loses a node in the same round.
     Extra columns of ``member`` (node attributes) are carried unchanged.
     """
     spark = member.sparkSession
@@ -142,8 +144,9 @@ def local_moving(member: DataFrame, gains: Callable[[DataFrame], DataFrame],
         state = small_table(spark, [(b, 2 ** halving[b] if halving[b] <= MAX_HALVINGS
                                      else MAX_HALVINGS + 1 - halving[b]) for b in active], "bin bigint, stride bigint")
         g = gains(member)
+        pick = [F.col("score"), F.col("gain")] if "score" in g.columns else [F.col("gain")]
         best = (g.groupBy("bin", "nid")
-                .agg(F.max(F.struct("gain", (-F.col("comm")).alias("nc"))).alias("b"),
+                .agg(F.max(F.struct(*pick, (-F.col("comm")).alias("nc"))).alias("b"),
                      F.max(F.when(F.col("comm") == F.col("own"), F.col("gain"))).alias("stay"),
                      F.first("own").alias("own")))
         wish = (best.join(F.broadcast(state), "bin")
@@ -154,6 +157,11 @@ def local_moving(member: DataFrame, gains: Callable[[DataFrame], DataFrame],
         way = F.col("new") < F.col("own") if rnd % 2 == 0 else F.col("new") > F.col("own")
         go = ((F.col("stride") > 0) & way &
               (F.pmod(F.xxhash64("nid", F.lit(rnd), F.lit(seed)), F.col("stride")) == 0))
+        if hold_targets:
+            wish = cut_lineage(wish)
+            left = wish.where(go).select("bin", F.col("own").alias("new"), F.lit(True).alias("left")).distinct()
+            wish = wish.join(left, ["bin", "new"], "left")
+            go = go & F.col("left").isNull()
         wishes = wish.select("bin", "nid", "new", go.alias("go"))
         if any(halving[b] > MAX_HALVINGS for b in active):
             wish = cut_lineage(wish)
