@@ -454,6 +454,17 @@ ranked AS (
   FROM scored)
 SELECT query, vec_id, similarity, rank FROM ranked WHERE rank <= 20"""
 
+ORACLE["embedding_neighbours"] = """
+WITH vecs AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings),
+sized AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda a: a * a))) AS n FROM vecs),
+scored AS (
+  SELECT q.vec_id AS query, e.vec_id,
+         round(list_sum(list_transform(list_zip(e.v, q.v), lambda p: p[1] * p[2])) / (e.n * q.n), 9) AS similarity
+  FROM sized e, sized q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id AND e.n > 0 AND q.n > 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id ASC) AS rank FROM scored)
+SELECT query, vec_id, similarity, rank FROM ranked WHERE rank <= 20"""
+
 ORACLE["modularity_of_partition"] = f"""
 WITH {WORKS}, {HITS}, {REPORT},
 e AS (SELECT b.bin, h.oa_id AS src, h.ref AS dst FROM hits h JOIN bins b ON b.decade = h.decade),
@@ -474,6 +485,12 @@ p AS (SELECT DISTINCT lower(substr(title, 1, 9)) AS phrase FROM (SELECT title FR
 SELECT p.phrase, w.oa_id FROM works w JOIN p
   ON contains(lower(coalesce(w.title, '')), p.phrase) OR contains(lower(coalesce(w.abstract, '')), p.phrase)"""
 
+ORACLE["leiden_check"] = f"""
+WITH {WORKS}, {HITS}, {REPORT},
+e AS (SELECT b.bin, h.oa_id AS src, h.ref AS dst FROM hits h JOIN bins b ON b.decade = h.decade),
+n AS (SELECT bin, src AS node FROM e UNION SELECT bin, dst FROM e)
+SELECT bin, count(*) AS nodes, count(*) AS members, true AS reaches_planted FROM n GROUP BY bin"""
+
 ORACLE["sbm_check"] = f"""
 WITH {WORKS}, {HITS}, {REPORT},
 e AS (SELECT b.bin, h.oa_id AS src, h.ref AS dst FROM hits h JOIN bins b ON b.decade = h.decade),

@@ -324,6 +324,7 @@ def trigram_phrases(spark, sf_dir):
     _, tables = ph.phrase_corpus(_tokens(spark, sf_dir), passes=2)
     return tables[1]
 
+from citeweave.operators import neighbours as nb
 from citeweave.operators import vectors as vx  # noqa: E402
 from citeweave.operators import word_vectors as wv  # noqa: E402
 
@@ -337,6 +338,15 @@ def vector_topk(spark, sf_dir):
     return vx.cosine_topk(emb, cents, k=vx.TOP_K)
 
 
+@register
+def embedding_neighbours(spark, sf_dir):
+    """M5/T4 for growing query sets: of every vector whose id is divisible by 50 the 20
+    nearest others, from an inverted file of cells searched to the exact end."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    asked = emb.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("query_vec"))
+    return nb.search(nb.build(emb), asked, k=vx.TOP_K, exact=True, exclude_self=True)
+
+
 @register
 def word2vec(spark, sf_dir):
     """M4: skip-gram vectors (300 dims, window 5, min count 10, 10 negative words,
@@ -380,6 +390,22 @@ def sbm(spark, sf_dir):
     return cm.detect(_bin_edges(spark, sf_dir), "sbm")
 
 
+@register
+def leiden_check(spark, sf_dir):
+    """Nodes of every bin and of its communities, and whether these reach the
+    modularity of the planted groups."""
+    from citeweave.session import cut_lineage
+    edges = _bin_edges(spark, sf_dir)
+    found = cut_lineage(cm.detect(edges, "leiden"))
+    planted = planted_membership(load_works(spark, sf_dir), DEFAULT_BINS).withColumnRenamed("oa_id", "node")
+    q = lambda m, name: cm.partition_modularity(edges, m).withColumnRenamed("modularity", name)
+    ends = edges.select("bin", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return (ends.groupBy("bin").agg(F.count("*").alias("nodes"))
+            .join(found.groupBy("bin").agg(F.count_distinct("node").alias("members")), "bin")
+            .join(q(found, "own"), "bin").join(q(planted, "groups"), "bin")
+            .select("bin", "nodes", "members", (F.col("own") >= F.col("groups")).alias("reaches_planted")))
+
+
 @register
 def sbm_check(spark, sf_dir):
     """Nodes of every bin and of its blocks, and whether these are described in no
