@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citeweave.operators.community.framework import dense_rank_ids
 from citeweave.schema import SQL_TYPES
 
 PK_PROPERTY = "citeweave.primary_key"
 JSON_PROPERTY = "citeweave.json_columns"
+SERIAL_PROPERTY = "citeweave.serial"
+DEFAULT_PROPERTY = "citeweave.default."
 
 # SQL type names used when printing a table definition.
 _DDL_NAMES = {
@@ -25,25 +28,38 @@ _DDL_NAMES = {
 }
 
 
+_KEY = re.compile(r"\s+PRIMARY\s+KEY\b", re.I)
+_DEFAULT = re.compile(r"\s+DEFAULT\s+('(?:[^']|'')*'|[^\s']+)(?:::\w+)?", re.I)
+_NOT_NULL = re.compile(r"\s+NOT\s+NULL\b", re.I)
+
+
 def _spark_type(sql_type: str) -> T.DataType:
-    base = re.sub(r"\s+PRIMARY\s+KEY\s*$", "", sql_type.strip(), flags=re.I).upper()
+    base = _NOT_NULL.sub("", _DEFAULT.sub("", _KEY.sub("", sql_type))).strip().upper()
     if base not in SQL_TYPES:
         raise ValueError(f"unsupported column type: {sql_type}")
     return SQL_TYPES[base]
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def create_table(spark: SparkSession, name: str, fields: dict[str, str],
                  pk: str | list[str] | None = "id", location: str | None = None) -> None:
     """K1: CREATE TABLE IF NOT EXISTS from ``{column: SQL type}``.
 
     A column declared ``... PRIMARY KEY`` is the key and no key clause is
-    added; otherwise ``pk`` (one or several columns) is the key."""
-    declared = [c for c, t in fields.items() if re.search(r"PRIMARY\s+KEY", t, re.I)]
+    added; otherwise ``pk`` (one or several columns) is the key.  A column left out of
+    an insert takes its ``DEFAULT`` (a literal or expression), a ``SERIAL`` one the
+    next numbers."""
+    declared = [c for c, t in fields.items() if _KEY.search(t)]
     keys = declared or ([pk] if isinstance(pk, str) else list(pk or []))
     cols = ", ".join(f"`{c}` {_spark_type(t).simpleString()}" for c, t in fields.items())
     json = [c for c, t in fields.items() if t.strip().upper().startswith("JSON")]
-    held = {PK_PROPERTY: keys, JSON_PROPERTY: json}
-    held = ", ".join(f"'{k}' = '{','.join(v)}'" for k, v in held.items() if v)
+    serial = [c for c, t in fields.items() if re.match(r"\s*(BIG)?SERIAL\b", t, re.I)]
+    held = {PK_PROPERTY: ",".join(keys), JSON_PROPERTY: ",".join(json), SERIAL_PROPERTY: ",".join(serial)}
+    held |= {DEFAULT_PROPERTY + c: m[1] for c, t in fields.items() if (m := _DEFAULT.search(t))}
+    held = ", ".join(f"{_quoted(k)} = {_quoted(v)}" for k, v in held.items() if v)
     props = f" TBLPROPERTIES ({held})" if held else ""
     loc = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet{loc}{props}")
@@ -66,6 +82,27 @@ def json_columns(spark: SparkSession, name: str) -> list[str]:
     return _column_property(spark, name, JSON_PROPERTY)
 
 
+def column_defaults(spark: SparkSession, name: str) -> dict[str, str]:
+    """The DEFAULT of every column that has one, as declared."""
+    return {r["key"].removeprefix(DEFAULT_PROPERTY): r["value"]
+            for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect() if r["key"].startswith(DEFAULT_PROPERTY)}
+
+
+def with_defaults(spark: SparkSession, name: str, rows: DataFrame) -> DataFrame:
+    """K5: ``rows`` with the columns of table ``name`` that they lack and that have a
+    DEFAULT or are SERIAL.  Serial numbers go on from the table's largest (from 1 in
+    an empty table) without gaps, in the rows' order."""
+    for c, text in column_defaults(spark, name).items():
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(text[1:-1].replace("''", "'")) if text.startswith("'") else F.expr(text))
+    for c in _column_property(spark, name, SERIAL_PROPERTY):
+        if c not in rows.columns:
+            last = spark.table(name).agg(F.max(c)).first()[0] or 0
+            rows = rows.withColumn("_at", F.monotonically_increasing_id())
+            rows = dense_rank_ids(rows, ["_at"], c).withColumn(c, F.col(c) + F.lit(last + 1)).drop("_at")
+    return rows
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Key values held by more than one row, or NULL keys (empty when the key holds)."""
     nulls = df.where(F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1
@@ -112,10 +149,11 @@ def as_json_value(col: str) -> F.Column:
 
 
 def upload(spark: SparkSession, name: str, df: DataFrame) -> None:
-    """K2: append rows in the table's column order (empty input: no-op).  A NULL
-    key, or one that the batch or the table has already, raises."""
+    """K2: append rows in the table's column order (empty input: no-op), columns left
+    out by ``with_defaults``.  A NULL key, or one that the batch or the table has
+    already, raises."""
     table = spark.table(name)
-    rows = conform(df, table.schema, json_columns(spark, name))
+    rows = conform(with_defaults(spark, name, df), table.schema, json_columns(spark, name))
     pk = primary_key(spark, name)
     if pk:
         assert_unique(rows, pk)
@@ -174,12 +212,18 @@ def describe_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def table_ddl(spark: SparkSession, name: str) -> str:
-    """``CREATE TABLE`` text with NOT NULL on key columns and the key."""
-    pk = primary_key(spark, name)
+    """``CREATE TABLE`` text with serial and jsonb columns, DEFAULTs, NOT NULL on
+    key columns and the key."""
+    pk, json, defaults = primary_key(spark, name), json_columns(spark, name), column_defaults(spark, name)
+    serial = _column_property(spark, name, SERIAL_PROPERTY)
     lines = []
     for f in spark.table(name).schema:
         t = _DDL_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString())
-        lines.append(f"  {f.name} {t}" + (" NOT NULL" if f.name in pk else ""))
+        if f.name in serial:
+            t = "bigserial" if isinstance(f.dataType, T.LongType) else "serial"
+        t = "jsonb" if f.name in json else t
+        lines.append(f"  {f.name} {t}" + (f" DEFAULT {defaults[f.name]}" if f.name in defaults else "")
+                     + (" NOT NULL" if f.name in pk else ""))
     if pk:
         lines.append(f"  PRIMARY KEY ({', '.join(pk)})")
     return f"CREATE TABLE {name} (\n" + ",\n".join(lines) + "\n)"

@@ -112,3 +112,22 @@ def test_corpus_round_trip(spark):
     path = tempfile.mkdtemp(prefix="cw-corpus-") + "/c"
     write_corpus(corpus, path)
     assert sorted(r.tokens for r in read_corpus(spark, path).collect()) == [["w"], ["x", "y_z"]]
+
+
+def test_serial_numbers_and_defaults(spark):
+    """Left-out columns: gapless numbers over two inserts, DEFAULTs; the printed table shows both."""
+    sk.drop_table(spark, "t_numbered")
+    sk.create_table(spark, "t_numbered", {"id": "SERIAL PRIMARY KEY", "name": "TEXT", "state": "TEXT DEFAULT 'it''s new'",
+                                          "tries": "INT NOT NULL DEFAULT 0", "extra": "JSONB DEFAULT '{}'::jsonb"})
+    sk.insert_rows(spark, "t_numbered", [{"name": n} for n in "abcde"])
+    sk.insert_rows(spark, "t_numbered", [{"name": "f", "tries": 4, "state": None}, {"name": "g", "tries": 5, "state": "x"}])
+    rows = sorted(spark.table("t_numbered").collect())
+    assert [(r.id, r.name) for r in rows] == list(zip(range(1, 8), "abcdefg"))
+    assert [(r.state, r.tries, r.extra) for r in rows[4:]] == [("it's new", 0, "{}"), (None, 4, "{}"), ("x", 5, "{}")]
+    sk.upload(spark, "t_numbered", spark.range(1000).selectExpr("CAST(id AS STRING) AS name"))
+    ids = [r.id for r in spark.table("t_numbered").select("id").collect()]
+    assert sorted(ids) == list(range(1, 1008))
+    text = sk.table_ddl(spark, "t_numbered")
+    assert "id serial NOT NULL" in text and "state text DEFAULT 'it''s new'" in text.replace("TEXT", "text")
+    assert "extra jsonb DEFAULT '{}'" in text and "DEFAULT 0" in text
+    sk.drop_table(spark, "t_numbered")
