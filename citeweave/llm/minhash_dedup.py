@@ -16,7 +16,8 @@
    confirmed on the full sets.  Confirmed links give components.
 5. The nodes of long lists that lie in different components meet each other
    through the rarest elements of their full sets, of which sets of likeness 0.8
-   always share one.
+   always share one; where that element's list is long too, through the elements in
+   which they deviate from a centre of the list.
    Only nodes with more than a quarter of their keys in long lists take part: the
    others share, with any partner of likeness 0.8, keys of short lists.
 
@@ -34,11 +35,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeweave.llm.components import components
 from citeweave.llm.frames import fresh
+from citeweave.llm.ngram_join import _Product
 from citeweave.llm.words import Words, slices
 from citeweave.session import cut_lineage, release, ship_package
 
@@ -154,20 +156,6 @@ class _Verifier:
                 .join(digests, "digest").dropDuplicates(["node"]).select("node", "text"))
 
 
-    def elements(self, wanted: DataFrame) -> DataFrame:
-        """(node, e): the full sets of the wanted (node, doc), one row per element."""
-        k = self.k
-
-        def explode(batches):
-            for batch in batches:
-                for part, sets in _sets(batch, k):
-                    nodes = part.column("node").to_numpy(zero_copy_only=False)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(nodes, [len(s) for s in sets])),
-                         pa.array(np.concatenate(sets).view(np.int64))], names=["node", "e"])
-        return self._texts(wanted).mapInArrow(explode, "node long, e long")
-
-
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_md5, n_shingles, component_id, kept: one row per row of ``documents``.
 
@@ -213,15 +201,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     roots = cut_lineage(components(links))
 
     mostly = _mostly_hot(lists)
-    pairs = _last_pairs(verifier, mostly, roots)
-    more = verifier.links(pairs)
-    release(pairs)
-    if not more.isEmpty():
-        before = roots
-        roots = cut_lineage(components(links.unionByName(more)))
-        release(before)
-    release(more)
-    release(lists, mostly, links)
+    roots = _last_links(documents, classes, mostly, links, roots, shingle, percent)
+    release(lists, mostly)
 
     member = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = member.groupBy("root").agg(F.min("min_doc").alias("component_id"))
@@ -273,57 +254,37 @@ def _mostly_hot(lists: DataFrame) -> DataFrame:
                        .where(F.col("h") > HOT_SHARE * n_keys).select("node"))
 
 
-def _last_pairs(verifier: _Verifier, mostly: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of different components among the nodes of long lists, by exact prefixes
-    of the full sets in order of rising frequency.
+def _last_links(documents: DataFrame, classes: DataFrame, mostly: DataFrame, links: DataFrame,
+                roots: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, root) after the links between nodes of long lists in different components.
 
-    Sets of n and m elements that are to be linked share at least
-    o = percent * (n + m) / (100 + percent) elements, so one of the first n - o + 1 of
-    the one is among the first m - o + 1 of the other.  A text that misses its
-    group's common elements by too much to be linked with their centre has as many
-    elements of its own, which come first and lie in short lists.  Sizes are
-    joined by classes 2 % wide, since o grows with the partner's size.
+    A text that misses its group's common elements by too much to be linked with
+    their centre has as many elements of its own; these come first in its prefix,
+    lie in short lists and are multiplied out.  Of a list that is still long each
+    node is tied to a centre, and two nodes not connected with it meet by the elements in
+    which both deviate from the centre, never all by all.
     """
-    percent = verifier.percent
-    nodes = cut_lineage(verifier.classes.join(mostly, "node", "left_semi").join(roots, "node", "left")
-                        .select("node", F.col("n_shingles").alias("n"), F.col("min_doc").alias("doc"),
-                                F.coalesce("root", "node").alias("root"),
-                                F.floor(F.log("n_shingles") / math.log(1.02)).alias("own")))
-    elements = cut_lineage(verifier.elements(nodes.select("node", "doc")))
-
-    def least(n: Column, m: Column) -> Column:
-        return F.ceil((n + m) * percent / (100 + percent) - 1e-9)
-
-    counts = elements.groupBy("e").agg(F.count("*").alias("c"))
-    # one window holds one text's set
-    order = Window.partitionBy("node").orderBy("c", "e")
-    rows = (elements.join(counts, "e").withColumn("pos", F.row_number().over(order))
-            .join(nodes.drop("doc"), "node")
-            .where((F.col("c") > 1) & (F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1))
-            .select("e", "node", "n", "root", "own", "pos"))
-    rows = cut_lineage(rows)
-    release(elements)
-    # the sizes and components each list holds, by class
-    present = cut_lineage(rows.groupBy("e", F.col("own").alias("other")).agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("r0"), F.max("root").alias("r1")))
-    smallest = F.greatest("low", F.ceil(F.col("n") * percent / 100 - 1e-9))
-    keyed = cut_lineage(
-        rows.join(present, "e")
-        .where((F.col("r0") != F.col("root")) | (F.col("r1") != F.col("root")))
-        .where((F.col("low") * percent <= F.col("n") * 100) & (F.col("high") * 100 >= F.col("n") * percent))
-        .where(F.col("pos") <= F.col("n") - least(F.col("n"), smallest) + 1)
-        .drop("low", "high", "r0", "r1"))
-    parts = keyed.groupBy("e", "root").agg(F.count("*").alias("c"))
-    main = parts.groupBy("e").agg(F.max(F.struct("c", "root")).alias("m")).select("e", F.col("m.root").alias("main"))
-    a = keyed.join(main, "e").where("root <> main").select(
-        "e", "own", "other", "main", F.col("node").alias("a"), F.col("n").alias("n_a"),
-        F.col("root").alias("root_a"), F.col("pos").alias("pos_a"))
-    b = keyed.select("e", F.col("own").alias("other"), F.col("other").alias("own"), F.col("node").alias("b"),
-                     F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("pos").alias("pos_b"))
-    shared = least(F.col("n_a"), F.col("n_b"))
-    meets = ((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b")))
-             & (F.col("pos_a") <= F.col("n_a") - shared + 1) & (F.col("pos_b") <= F.col("n_b") - shared + 1))
-    pairs = cut_lineage(a.join(b, ["e", "own", "other"]).where(meets)
-                        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    release(nodes, rows, present, keyed)
-    return pairs
+    rows = cut_lineage(classes.select("node", F.col("n_shingles").alias("n"),
+                                      F.col("min_doc").alias("doc"), "digest"))
+    product = _Product(documents, rows, k, percent)
+    product.links, product.roots = links, roots
+    product.fetch(mostly)
+    counts = cut_lineage(product.sets.select(F.explode("grams").alias("g")).groupBy("g")
+                         .agg(F.count("*").alias("c")).where(F.col("c") > COLD))
+    heads = cut_lineage(product.turned(mostly, counts))
+    entries = cut_lineage(product.apart(product.entries_of(heads.where("pos < short"))))
+    # lists whose nodes are connected already have nothing to add
+    long = cut_lineage(product.with_root(heads.where("pos >= short"), "node", "root"))
+    open_ = (long.groupBy("g").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
+             .where("r0 <> r1").select("g"))
+    own = F.floor(F.log("n") / math.log(100.1 / percent))
+    # sizes that allow a link lie in one class or in neighbouring ones
+    classed = (long.join(open_, "g", "left_semi")
+               .withColumn("class", F.explode(F.array(own, own + 1)))
+               .select(F.xxhash64("g", "class").alias("g"), "node", "n", "share"))
+    star = product.centred(classed)
+    rays = cut_lineage(product.apart(product.rays(star)))
+    product.best_first(entries, also=rays)
+    product.by_centres(star)
+    release(rows, counts, heads, entries, long, rays, product.links, *product.fetched)
+    return product.roots
