@@ -17,7 +17,8 @@ no path; equal cuts of a batch are solved once, all cuts side by side in numpy.
 
 Rows: null text gives null ids, an empty text no ids; the decoder turns null
 into null.  Texts of any length are cut as above and never as a
-prefix.  U+2581 in a text decodes as a space, as the format has it.  Repeated
+prefix; memory follows their characters, time for text without any cut too (about
+0.5 ms a character, so such a text of 1 MB takes minutes).  U+2581 in a text decodes as a space, as the format has it.  Repeated
 rows are coded each; an empty table gives no rows.  Other columns are ignored
 by ``encode``/``decode``.
 """
@@ -37,7 +38,7 @@ from citeweave.session import ship_package
 TOKENIZERS = "/opt/tokenizers"
 _SPACE = 0x2581
 _UNIGRAM, _BPE = 1, 2
-_WIDTHS = (16, 64, 512)
+_WIDTHS = (16, 64, 512)   # then by powers of two
 _loaded: dict = {}
 
 
@@ -176,9 +177,8 @@ class Transducer:
         rows = np.arange(n)
         cost = np.full((n, width + 1), np.inf)
         cost[:, 0] = 0.0
-        last = np.full((n, width + 1), -1, dtype=np.int64)   # piece that ends here
-        come = np.zeros((n, width + 1), dtype=np.int64)      # where it begins
-        fixed = last.copy()
+        last = np.full((n, width + 1), -1, dtype=np.int32)   # piece that ends here
+        come = np.zeros((n, width + 1), dtype=np.int32)      # where it begins
         for i in range(width):
             live = rows[(length > i) & np.isfinite(cost[:, i])]
             if not len(live):
@@ -200,7 +200,7 @@ class Transducer:
                 r, p = act[here], piece[here]
                 if size == 1:
                     covered[idx[here]] = True
-                before = fixed[r, i]
+                before = last[r, i].astype(np.int64)         # no arc into i is still to come
                 if self.bpe:
                     inner = before >= 0
                     ok = np.ones(len(r), dtype=bool)
@@ -217,7 +217,6 @@ class Transducer:
             bare = bare[better]
             cost[bare, i + 1], come[bare, i + 1] = total[better], i
             last[bare, i + 1] = -1 - chars[bare, i].astype(np.int64)
-            fixed[:, i + 1] = last[:, i + 1]
         # walk back, then put the arcs of each row in order
         seen_row, seen_arc, at, live = [], [], length.copy(), rows[length > 0]
         while len(live):
@@ -227,7 +226,7 @@ class Transducer:
             live = live[at[live] > 0]
         if not seen_row:
             return np.zeros(0, np.int64), np.zeros(n, np.int64)
-        row, arc = np.concatenate(seen_row), np.concatenate(seen_arc)
+        row, arc = np.concatenate(seen_row), np.concatenate(seen_arc).astype(np.int64)
         order = np.lexsort((-np.arange(len(row)), row))
         return arc[order], np.bincount(row, minlength=n)
 
@@ -263,16 +262,19 @@ class Transducer:
 
     def _solve(self, chars: np.ndarray, start: np.ndarray, length: np.ndarray):
         """Ids of each span, end to end, and their number per span."""
+        # rows of one grid are padded to twice their length at most, short ones aside
+        widths, longest = list(_WIDTHS), int(length.max())
+        while widths[-1] < longest:
+            widths.append(2 * widths[-1])
         parts, low = [], 0
-        for high in (*_WIDTHS, int(length.max())):
+        for high in widths:
             pick = np.flatnonzero((length > low) & (length <= high))
             if len(pick):
-                grid = np.zeros((len(pick), high), dtype=np.uint32)
-                at = np.minimum(start[pick, None] + np.arange(high), len(chars) - 1)
-                grid[:] = chars[at]
+                wide = int(length[pick].max())
+                grid = chars[np.minimum(start[pick, None] + np.arange(wide), len(chars) - 1)]
                 arcs, count = self._paths(grid, length[pick])
                 parts.append((np.repeat(pick, count), arcs))
-            low = max(low, high)
+            low = high
         row = np.concatenate([p[0] for p in parts])
         arc = np.concatenate([p[1] for p in parts])
         order = np.argsort(row, kind="stable")

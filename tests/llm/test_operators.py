@@ -195,6 +195,29 @@ def test_sharding(spark, corpus):
     assert max(sums) - min(sums) < 99
 
 
+def test_stored_shard_map_is_edited(spark, tmp_path):
+    from citeweave.llm.sharding import newest_version, read_map, shard_documents
+    path = str(tmp_path / "map")
+    docs = spark.range(20000).selectExpr("id AS doc_id", "repeat('x', cast(id % 97 AS int)) AS text")
+
+    def place(df, shards):
+        rows = [tuple(r) for r in shard_documents(df, shards, map_path=path).collect()]
+        version = newest_version(spark, path)
+        return sorted(rows, key=str), version, {r.virtual_slot: r.shard for r in read_map(spark, path, version).collect()}
+
+    rows, version, first = place(docs, 8)
+    assert place(docs, 8) == (rows, version, first)
+    _, grown, second = place(docs, 9)
+    moved = {s for s in first if first[s] != second[s]}
+    assert grown == version + 1
+    assert len(moved) < 1.2 * 4096 / 9 and sum(second[s] == 8 for s in moved) > 0.9 * len(moved)
+    assert {r.virtual_slot: r.shard for r in read_map(spark, path, version).collect()} == first
+    _, _, third = place(docs, 7)
+    assert set(third.values()) <= set(range(7))
+    with pytest.raises(ValueError):
+        shard_documents(docs, 8, slots=64, map_path=path)
+
+
 def test_base_rules(spark, corpus):
     from citeweave.llm.fertility import quality_rules
     rows = corpus + [(100, "a b c a b c a b c\nx y\nx y\n\n\nx y " + "#* " * 3, "en", "s", 0)]
@@ -300,6 +323,30 @@ def test_sentencepiece_matches_the_library(spark, corpus, odd):
         assert r.ids == (None if r.text is None else sp.encode(r.text))
 
 
+def test_long_cuts_beside_many_medium_ones():
+    """Memory follows the characters of the cuts, not the longest cut times their number."""
+    import tracemalloc
+
+    import sentencepiece
+
+    from citeweave.llm.sentencepiece_fst import load
+    from citeweave.llm.words import text_bytes
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(520, 800))) for _ in range(300)]
+    texts.append("".join(rng.choice(letters) for _ in range(6000)))
+    with open(MODEL, "rb") as f:
+        t = load(f.read())
+    tracemalloc.start()
+    ids, offs = t.encode(*text_bytes(pa.array(texts)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20
+    for i, x in enumerate(texts):
+        assert ids[offs[i]:offs[i + 1]].tolist() == sp.encode(x)
+
+
 def test_unigram_paths():
     """Path weights of a unigram reading of the pieces equal the library's."""
     import sentencepiece
