@@ -175,6 +175,40 @@ def test_passages_around_a_frequent_line(spark):
     assert pairs >= {(21 + 2 * k, 20 + 2 * k) for k in range(40)}
 
 
+@pytest.mark.parametrize("size", [30, 40, 45])
+def test_near_passages_around_a_frequent_line(spark, size):
+    """Pairs share 60 words, one of them changed, around a line that 20 smaller documents have."""
+    from citeweave.llm.substring_dedup import duplicate_passages
+    rng = random.Random(size)
+    line = words_of(rng, size)
+    rows = [words_of(rng, 20) + line + words_of(rng, 20) for _ in range(20)]
+    for _ in range(100):
+        shared = words_of(rng, 8) + line + words_of(rng, 52 - size)
+        for edit in (False, True):
+            text = list(shared)
+            if edit:
+                text[rng.randrange(60)] = f"edit{len(rows)}"
+            rows.append(words_of(rng, 20) + text + words_of(rng, 20))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    pairs = {(r.doc_id, r.other_doc_id) for r in duplicate_passages(df).collect()}
+    assert len(pairs & {(21 + 2 * k, 20 + 2 * k) for k in range(100)}) >= 99
+
+
+def test_pairs_of_larger_ids_are_tied(spark):
+    """Variants of one passage, each with another word changed: every two are a pair."""
+    from citeweave.llm.substring_dedup import duplicate_passages
+    rng = random.Random(4)
+    base, rows = words_of(rng, 120), []
+    for i in range(5):
+        text = list(base)
+        text[20 + 20 * i] = f"edit{i}"
+        rows.append((i, " ".join(words_of(rng, 30) + text + words_of(rng, 30))))
+    rows.append((5, rows[4][1]))
+    found = duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {(r.doc_id, r.other_doc_id) for r in found}
+    assert pairs == {(a, b) for a in range(5) for b in range(a)} | {(5, 4)}
+
+
 def test_sharding(spark, corpus):
     from citeweave.llm.sharding import dealt, rebalanced, shard_documents
     rows = shard_documents(frame(spark, corpus)).collect()
