@@ -84,3 +84,21 @@ def test_merge_text(spark):
                                "title string, abstract string")
     got = [r[0] for r in df.select(tx.merge_title_abstract()).collect()]
     assert got == ["t\na", "a", "t", None]
+
+
+def test_raw_records_shuffle_texts_not_words(spark):
+    """The inverted index of each text, of both texts of a repeated id, and none of null ones."""
+    from citeweave.sources.tables import raw_works_from_documents
+    rows = [(1, "b a  b", "en", "s", 6), (2, None, "en", "s", 0), (3, "", "en", "s", 0),
+            (4, "x y", "en", "s", 3), (4, "y z", "en", "s", 3), (None, "q", "en", "s", 1)]
+    raw = raw_works_from_documents(spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    got = sorted((r[0] or "", {k: sorted(v) for k, v in r[1].items()} if r[1] is not None else None)
+                 for r in raw.select("id", "abstract_inverted_index").collect())
+    url = "https://works.example.org/W"
+    both = {"x": [0], "y": [0, 1], "z": [1]}
+    assert got == [("", None), (f"{url}1", {"b": [0, 3], "a": [1], "": [2]}), (f"{url}2", None),
+                   (f"{url}3", {"": [0]}), (f"{url}4", both), (f"{url}4", both)]
+    plan = raw._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "Generate" not in plan and "word#" not in "".join(
+        line for line in plan.splitlines() if "hashpartitioning" in line)
