@@ -19,7 +19,7 @@ ranks each of its rows.  Query ids are distinct.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +36,8 @@ from citeweave.session import cut_lineage, ship_package
 MAX_CELLS = 4096
 SAMPLE = 100_000
 BLOCK = 2_000
+ANGLES = 1 << 20  # that a task holds at a time: 8 MB
+COPIES = 10_000   # rows of a query with a cell that it sends at a time
 PROBES = 8
 SLACK = 1e-6  # of an angle, for rounding
 
@@ -65,6 +67,24 @@ def _angles(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(units @ centres.T, -1.0, 1.0))
 
 
+def _slices(batches: Iterable[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, so many at a time that they have at most ``ANGLES`` angles to the cells."""
+    rows = max(1, ANGLES // max(cells, 1))
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _placed(batches: Iterable[pa.RecordBatch], centres: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The vectors with the cell of their nearest centre and the angle to it."""
+    for part in _slices(batches, len(centres)):
+        angle = _angles(_matrix(part.column("unit")), centres)
+        cell = angle.argmin(axis=1)
+        yield pa.RecordBatch.from_arrays(
+            [*part.columns, pa.array(cell.astype(np.int32)), pa.array(angle[np.arange(len(cell)), cell])],
+            names=[*part.schema.names, "cell", "angle"])
+
+
 def fit_centres(units: DataFrame, id_col: str, cells: int | None = None, sample: int = SAMPLE,
                 seed: int = 1) -> np.ndarray:
     """Unit centres of k-means on the ``sample`` vectors of least hash of id; about
@@ -89,16 +109,9 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embedding", ce
     centres = fit_centres(units, id_col, cells, sample, seed)
     shared = spark.sparkContext.broadcast(centres)  # at most MAX_CELLS vectors
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                angle = _angles(_matrix(batch.column("unit")), shared.value)
-                cell = angle.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle[np.arange(len(cell)), cell])],
-                    names=[*batch.schema.names, "cell", "angle"])
     kind = vectors.schema[id_col].dataType.simpleString()
-    placed = cut_lineage(units.mapInArrow(place, f"`{id_col}` {kind}, unit array<double>, cell int, angle double"))
+    placed = cut_lineage(units.mapInArrow(lambda b: _placed(b, shared.value),
+                                          f"`{id_col}` {kind}, unit array<double>, cell int, angle double"))
     radii, blocks = np.full(len(centres), -1.0), np.zeros(len(centres), dtype=np.int64)
     for r in placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect():  # cells
         radii[r.cell], blocks[r.cell] = r.radius, -(-r.n // block)
@@ -160,21 +173,22 @@ def search(index: CellIndex, queries: DataFrame, k: int = TOP_K, id_col: str = "
 
     def cells(batches: Iterator[pa.RecordBatch], further: bool) -> Iterator[pa.RecordBatch]:
         centres, radii, number = shared.value
-        for batch in batches:
-            if not batch.num_rows or not len(number):
-                continue
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                angle = _angles(_matrix(part.column("unit")), centres)
-                rank = angle.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
-                if further:
-                    worst = part.column("worst").to_numpy(zero_copy_only=False)  # nan: fewer than k found
-                    reach = np.where(np.isnan(worst), np.inf, np.arccos(np.clip(worst, -1.0, 1.0)))
-                    row, cell = np.nonzero((rank >= probes) & (angle - radii <= reach[:, None] + SLACK))
-                else:
-                    row, cell = np.nonzero(rank < probes)
-                taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([taken.column(qid), taken.column("unit"), pa.array(number[cell])],
-                                                 names=[qid, "unit", "cell"])
+        if not len(number):
+            return
+        for part in _slices(batches, len(number)):
+            angle = _angles(_matrix(part.column("unit")), centres)
+            rank = angle.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+            if further:
+                worst = part.column("worst").to_numpy(zero_copy_only=False)  # nan: fewer than k found
+                reach = np.where(np.isnan(worst), np.inf, np.arccos(np.clip(worst, -1.0, 1.0)))
+                row, cell = np.nonzero((rank >= probes) & (angle - radii <= reach[:, None] + SLACK))
+            else:
+                row, cell = np.nonzero(rank < probes)
+            for at in range(0, len(row), COPIES):
+                taken = part.take(pa.array(row[at:at + COPIES]))
+                yield pa.RecordBatch.from_arrays(
+                    [taken.column(qid), taken.column("unit"), pa.array(number[cell[at:at + COPIES]])],
+                    names=[qid, "unit", "cell"])
     schema = f"`{qid}` {kind}, unit array<double>, cell int"
 
     def ranked(found: DataFrame) -> DataFrame:
