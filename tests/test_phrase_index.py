@@ -46,3 +46,17 @@ def test_empty_index(spark):
     pi.write_index(spark.createDataFrame([("W1", "abc", None)], SCHEMA), path, parts=2)
     none = spark.createDataFrame([], "phrase string")
     assert pi.search(spark, path, none, parts=2).collect() == []
+
+
+def test_a_long_text_is_cut_in_one_pass_and_a_repeated_id_once(spark, tmp_path):
+    import time
+    long = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(400_000)) + "é漢😀!"
+    works = spark.createDataFrame([("W1", long, "ab"), ("W2", None, "abcd"), ("W2", None, "bcde"), ("W3", "", None)],
+                                  "oa_id string, title string, abstract string")
+    began = time.time()
+    pi.write_index(works, str(tmp_path), parts=4)
+    assert time.time() - began < 30  # by SQL substrings: 80 billion steps over characters
+    got = sorted((r.oa_id, r.field, r.gram) for r in spark.read.parquet(f"{tmp_path}/postings").collect())
+    cut = lambda t: {(t + pi.END)[i:i + 3] for i in range(len(t))}
+    want = [("W1", 0, g) for g in cut(long)] + [("W1", 1, g) for g in cut("ab")] + [("W2", 1, g) for g in cut("abcd") | cut("bcde")]
+    assert got == sorted(want)
