@@ -209,6 +209,37 @@ def test_pairs_of_larger_ids_are_tied(spark):
     assert pairs == {(a, b) for a in range(5) for b in range(a)} | {(5, 4)}
 
 
+def test_tables_leave_no_shuffle_files(spark):
+    """Each step of the passages is written out; the shuffles that made it do not stay on disk."""
+    from citeweave.session import cut_lineage
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        names = files.getAllFiles().mkString("\n").split("\n")
+        return {os.path.basename(n) for n in names if os.path.basename(n).startswith("shuffle_")}
+    before = shuffles()
+    table = cut_lineage(spark.range(10_000).groupBy((F.col("id") % 777).alias("k")).count())
+    assert not shuffles() - before
+    assert table.count() == 777 and table.agg(F.sum("count")).first()[0] == 10_000
+
+
+def test_only_rare_tokens_get_rows():
+    """Tokens inside windows are counted once a text; rows with places are of those wanted only."""
+    from citeweave.llm.substring_dedup import _single
+    rng = random.Random(3)
+    line, own = words_of(rng, 12), words_of(rng, 12)
+    texts = [" ".join(line + own + line), " ".join(line)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1, 2]), pa.array(texts), pa.array([[{"l": 0, "r": 31}], [{"l": 0, "r": 7}]])],
+        names=["doc_id", "text", "spots"])
+    keys = [k for b in _single(5)([batch]) for k in b.column("key").to_pylist()]
+    count = collections.Counter(keys)
+    assert sorted(count.values()) == [1] * 16 + [2] * 8 and len(keys) == 32
+    rare = np.array(sorted(k for k, n in count.items() if n == 1), dtype=np.int64).view(np.uint64)
+    rows = [r for b in _single(5, lambda t: np.isin(t, rare))([batch]) for r in b.to_pylist()]
+    assert sorted(r["l"] for r in rows) == list(range(8, 24)) and all(r["doc_id"] == 1 and r["first"] for r in rows)
+
+
 def test_sharding(spark, corpus):
     from citeweave.llm.sharding import dealt, rebalanced, shard_documents
     rows = shard_documents(frame(spark, corpus)).collect()
