@@ -240,6 +240,50 @@ def test_only_rare_tokens_get_rows():
     assert sorted(r["l"] for r in rows) == list(range(8, 24)) and all(r["doc_id"] == 1 and r["first"] for r in rows)
 
 
+def test_only_pairs_with_a_common_stretch_are_aligned(monkeypatch):
+    """Most regions share a few words only: these are told without aligning them; no passage is lost."""
+    from citeweave.llm import substring_dedup
+    rng, align, calls = random.Random(6), substring_dedup.align, []
+    monkeypatch.setattr(substring_dedup, "align", lambda *a: calls.append(1) or align(*a))
+    rows, want = [], set()
+    for i in range(300):
+        a, b = (words_of(rng, rng.randrange(50, 200)) for _ in range(2))
+        line = words_of(rng, 60 if i % 10 == 0 else 12)
+        a[20:20] = line
+        if i % 20 == 0:
+            line = line[:30] + ["edit"] + line[31:]  # likeness 0.83
+        b[7:7] = line
+        rows.append((i, 0, 1000 + i, 0, " ".join(a), " ".join(b)))
+        want |= {i} if i % 10 == 0 else set()
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)],
+                                       names=["doc_id", "l", "other", "lb", "text_a", "text_b"])
+    found = [r for b in substring_dedup._verify(5, 50, 80)([batch]) for r in b.to_pylist()]
+    assert {r["doc_id"] for r in found} == want and len(calls) < 60
+
+
+def test_compact_windows_are_minima_of_their_stretch():
+    """Every stretch of ``width`` tokens lies in the window of its least value, equal values included;
+    a window ends where a smaller value, or the text, does."""
+    from citeweave.llm.substring_dedup import compact_windows, whole_windows
+    from citeweave.llm.words import mix
+    rng = np.random.default_rng(2)
+    offsets = np.cumsum([0, 30, 0, 9, 46, 200, 10, 75])
+    tokens = rng.integers(1, 60, offsets[-1]).astype(np.uint64)
+    for width, function in ((10, 0), (1, 1), (16, 2)):
+        value = mix(tokens ^ mix(np.full(1, function + 1, dtype=np.uint64))).tolist()
+        want = set()
+        for d, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            for c in {min(range(x, x + width), key=lambda i: (value[i], i)) for x in range(s, e - width + 1)}:
+                left, right = c, c
+                while left > s and (value[left - 1], left - 1) > (value[c], c):
+                    left -= 1
+                while right < e - 1 and (value[right + 1], right + 1) > (value[c], c):
+                    right += 1
+                want.add((d, c - s, left - s, right - s))
+        got = compact_windows(tokens, offsets, whole_windows(offsets, width), width, function)
+        assert len(got[0]) == len(want) and set(zip(*(x.tolist() for x in got))) == want
+
+
 def test_sharding(spark, corpus):
     from citeweave.llm.sharding import dealt, rebalanced, shard_documents
     rows = shard_documents(frame(spark, corpus)).collect()
