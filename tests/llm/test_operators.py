@@ -209,6 +209,43 @@ def test_pairs_of_larger_ids_are_tied(spark):
     assert pairs == {(a, b) for a in range(5) for b in range(a)} | {(5, 4)}
 
 
+def test_near_passages_of_frequent_tokens(spark):
+    """Pairs share 64 words, one of them changed, whose tokens 12 smaller documents have in another order:
+    every token is frequent, and no smaller document has the passage."""
+    from citeweave.llm.substring_dedup import duplicate_passages
+    rng, rows, want = random.Random(12), [], set()
+    for _ in range(20):
+        p = words_of(rng, 64)
+        rows += [words_of(rng, 20) + p[40:] + p[20:44] + p[:24] + words_of(rng, 20) for _ in range(12)]
+        want.add((len(rows) + 1, len(rows)))
+        rows += [words_of(rng, 20) + t + words_of(rng, 20) for t in (p, p[:32] + ["edit"] + p[33:])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    pairs = {(r.doc_id, r.other_doc_id) for r in duplicate_passages(df).collect()}
+    assert pairs >= want
+
+
+def test_areas_hold_every_passage():
+    """Against all stretches of short texts: every one that may be a passage lies in one area."""
+    from citeweave.llm.substring_dedup import _areas
+    rng = np.random.default_rng(7)
+    for width, percent in ((6, 80), (4, 60), (1, 100)):
+        for _ in range(60):
+            sizes = rng.integers(0, 30, 4)
+            offs = np.concatenate([[0], np.cumsum(sizes)])
+            shared = rng.random(offs[-1]) < rng.choice([0.5, 0.8, 0.95])
+            at, first, last = _areas(shared, offs, width, percent)
+            area = {int(x): (int(a), int(b)) for x, a, b in zip(at, first, last)}
+            assert all(a <= x <= b and shared[a] and shared[b] for x, (a, b) in area.items())
+            for low, high in zip(offs[:-1], offs[1:]):
+                assert all(low <= a and b < high for x, (a, b) in area.items() if low <= x < high)
+                for a in range(low, high):
+                    for b in range(a + width - 1, high):
+                        common, size = int(shared[a:b + 1].sum()), b - a + 1
+                        if (shared[a] and shared[b] and 100 * common >= percent * size
+                                and (100 + percent) * common >= percent * (size + width)):
+                            assert area[a] == area[b] and area[a][0] <= a and b <= area[a][1]
+
+
 def test_tables_leave_no_shuffle_files(spark):
     """Each step of the passages is written out; the shuffles that made it do not stay on disk."""
     from citeweave.session import cut_lineage
